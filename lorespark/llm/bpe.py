@@ -17,6 +17,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ class PairIndexEncoder:
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text, so that a batch of very long texts stays small in Python."""
-    offsets = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
