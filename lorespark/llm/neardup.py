@@ -19,7 +19,6 @@ from __future__ import annotations
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -115,9 +114,13 @@ def _drawn(node: np.ndarray, share: float, draw: int) -> np.ndarray:
     return coordinate
 
 
-def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The children ``(node, row)`` of members of nodes: on average 1/similarity draws a node."""
-    want = 1.0 / similarity
+def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similarity: float, breadth: float = 1.3) -> tuple[np.ndarray, np.ndarray]:
+    """The children ``(node, row)`` of members of nodes: on average breadth/similarity draws a node.
+
+    A pair of that similarity so has ``breadth`` common children in the mean; over 1, its line goes on for good
+    with a fixed chance, however deep the tree.
+    """
+    want = breadth / similarity
     children, members = [], []
     for draw in range(int(np.ceil(want))):
         share = 1.0 if draw + 1 <= want else want - int(want)
@@ -131,11 +134,20 @@ def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similarity: fl
     return np.concatenate(children), np.concatenate(members)
 
 
+def _likeness_to_node(vectors: np.ndarray) -> np.ndarray:
+    """Mean share of coordinates at which each vector agrees with the vectors of its node."""
+    total = np.zeros(len(vectors))
+    for c in range(vectors.shape[1]):
+        total += np.bincount(vectors[:, c], minlength=256)[vectors[:, c]]
+    return total / (len(vectors) * vectors.shape[1])
+
+
 def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similarity: float, looks: float) -> np.ndarray:
     """Pairs of rows ``(a, b)``, a < b, that share a leaf and whose vectors agree on ``looks`` of the coordinates.
 
-    Nodes up to ``LEAF`` are compared at once, all nodes together, shift by shift; larger ones branch. A node
-    that still is large at the greatest depth is compared in blocks.
+    Nodes up to ``LEAF`` are compared at once, all nodes together, shift by shift. In a larger node the members
+    that are alike to the node as a whole are compared with all of it and leave it, since no branching would
+    part them; the others branch.
     """
     found = [np.zeros((0, 2), np.int64)]
     least = looks * tokens.shape[1]
@@ -156,7 +168,7 @@ def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similar
         first = np.concatenate([[True], node[1:] != node[:-1]])
         size = np.diff(np.concatenate([np.flatnonzero(first), [len(node)]]))
         sizes = np.repeat(size, size)
-        small = sizes <= LEAF if depth < DEPTH_MOST else np.ones(len(node), bool)
+        small = (sizes <= LEAF) | (depth == DEPTH_MOST)
         here = small & (sizes > 1)
         n, r = node[here], row[here]
         shift, active = 1, np.arange(len(n))
@@ -165,7 +177,17 @@ def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similar
             active = active[n[active] == n[active + shift]]
             keep(r[active], r[active + shift])
             shift += 1
-        node, row = branch(node[~small], row[~small], tokens, similarity) if depth < DEPTH_MOST else (node[:0], row[:0])
+        node, row = node[~small], row[~small]
+        if len(node):
+            ends = np.concatenate([np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])), [len(node)]])
+            stay = np.ones(len(node), bool)
+            for a, b in zip(ends, ends[1:]):
+                members = row[a:b]
+                close = np.flatnonzero(_likeness_to_node(tokens[members]) >= 0.75 * looks)
+                stay[a + close] = False
+                for m in close:
+                    keep(np.full(b - a, members[m]), members)
+            node, row = branch(node[stay], row[stay], tokens, similarity)
     return np.unique(np.concatenate(found), axis=0)
 
 
@@ -191,7 +213,7 @@ def candidate_pairs(classes: DataFrame, similarity: float, looks: float) -> Data
             for batch in batches:
                 if batch.num_rows:
                     vectors = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-                    child, member = branch(batch.column(0).to_numpy(), np.arange(batch.num_rows), vectors, similarity)
+                    child, member = branch(batch.column(0).to_numpy(), np.arange(batch.num_rows), vectors, similarity, 1.7)
                     at = pa.array(member, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), batch.column(1).take(at), batch.column(2).take(at)], ["node", "class", "tokens"])
 

@@ -93,23 +93,33 @@ def _common_share(words: list[str], common: frozenset[str], spaceless: list[str]
     return share
 
 
-def _gibberish(text: str, words: list[str], common: frozenset[str], share: float) -> bool:
-    """What no language writes: odd symbols, keys struck at random, broken encodings, one sign or word over and over."""
+def _gibberish(text: str, words: list[str], common: frozenset[str], share: float, layout: bool) -> bool:
+    """What no language writes: odd symbols, keys struck at random, broken encodings, one sign or word over and over.
+
+    In a text with the ``layout`` of a list or table only encoded bytes count; there signs and words may repeat.
+    """
     seen = Counter(text)
     for blank in [c for c in seen if c.isspace()]:
         del seen[blank]
     n = sum(seen.values())
     if n < 12:
         return False
+    if sum(seen[c] for c in BROKEN) > 0.25 * n or seen["\ufffd"] + seen["\0"] > 0.03 * n:
+        return True
+    if sum(map(len, BLOB.findall(text))) > 0.5 * n and "://" not in text:
+        return True
+    hexadecimal = sum(seen[c] for c in "abcdefABCDEF")
+    if n >= 24 and hexadecimal > 0.1 * n and hexadecimal + sum(seen[c] for c in "0123456789") > 0.97 * n:
+        return True
+    if layout:
+        return False
     letters = sum(k for c, k in seen.items() if c.isalpha() or not (c.isascii() or SYMBOL.match(c)))
     digits = sum(k for c, k in seen.items() if c.isdigit())
     top = seen.most_common(2)
-    if top[0][1] > 0.5 * n or letters + digits < 0.55 * n or seen["\ufffd"] + seen["\0"] > 0.03 * n:
+    if top[0][1] > 0.5 * n or letters + digits < 0.55 * n:
         return True
     if len(top) > 1 and top[0][1] + top[1][1] > 0.9 * n:
         return True
-    if sum(seen[c] for c in BROKEN) > 0.25 * n:
-        return True
     if len(words) >= 6 and max(Counter(words).values()) > 0.6 * len(words):
         return True
     if len(words) >= 12 and len(set(words)) < 0.4 * len(words):
@@ -126,13 +136,9 @@ def _gibberish(text: str, words: list[str], common: frozenset[str], share: float
             return True  # syllables strung together
         if len(latin) >= 40 and share < 0.02 and not any(w.lower() in common for w in latin[:20]):
             return True
-    if sum(map(len, BLOB.findall(text))) > 0.5 * n and "://" not in text:
-        return True
     plain = Counter({c: k for c, k in seen.items() if c.isascii() and c.isalpha()})
     size = sum(plain.values())
-    if size >= 60 and size > 0.5 * n and sum(k for _, k in plain.most_common(8)) > 0.93 * size:
-        return True  # one row of keys
-    return n >= 24 and sum(k for c, k in seen.items() if c in "0123456789abcdefABCDEF") > 0.97 * n
+    return size >= 60 and size > 0.5 * n and sum(k for _, k in plain.most_common(8)) > 0.93 * size  # one row of keys
 
 
 def _line_kinds(lines: list[str], words: list[list[str]], marks: list[str]) -> list[str]:
@@ -225,11 +231,12 @@ def examine(text: str | None, common: frozenset[str], spaceless: list[str]) -> t
     tables, lists = weight["table"] + weight["log"], weight["list"] + weight["pair"] + weight["inline"]
 
     prose = weight["text"] / body if body else 0.0
+    layout = prose < 0.5 and len(lines) >= 3
     if weight["rule"] > 2 * (solid - weight["rule"]) and solid >= 12:
         kind = "junk"
     elif not body:
         kind = "prose"  # headings or code alone are neither list nor table
-    elif _gibberish(*(("\n".join(x for x, k in zip(lines, kinds) if k == "text"), [w for ws, k in zip(by_line, kinds) if k == "text" for w in ws]) if 0.5 <= prose < 1 else (text, words)), common, share):
+    elif _gibberish(*(("\n".join(x for x, k in zip(lines, kinds) if k == "text"), [w for ws, k in zip(by_line, kinds) if k == "text" for w in ws]) if 0.5 <= prose < 1 else (text, words)), common, share, layout):
         kind, prose = "junk", 0.0
     elif prose >= 0.5:
         kind = "prose"
