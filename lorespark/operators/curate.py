@@ -126,9 +126,9 @@ def rename_entity(entities: DataFrame, namespace: str, old: str, new: str) -> Da
     """An entity under a new normal name, unless the namespace has that name already."""
     slug = normalize_entity_name(F.lit(new))
     here = F.col("namespace") == namespace
-    taken = entities.where(here & (F.col("name") == slug)).agg(F.count(F.lit(1)).alias("_taken"))
+    taken = entities.where(here & (F.col("name") == slug)).agg(F.count(F.lit(1)).alias("_taken")).scalar()
     hit = here & (F.col("name") == old) & (F.col("_taken") == 0)
-    return entities.join(F.broadcast(taken)).withColumn("name", F.when(hit, slug).otherwise(F.col("name"))).drop("_taken")
+    return entities.withColumn("_taken", taken).withColumn("name", F.when(hit, slug).otherwise(F.col("name"))).drop("_taken")
 
 
 def normalized_relations(relationships: DataFrame) -> DataFrame:

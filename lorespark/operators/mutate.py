@@ -31,10 +31,10 @@ def numbered(new: DataFrame, existing: DataFrame, order: Sequence[str], id_: str
     placed = new.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset"))  # at most 256 rows
-    most = existing.agg(F.coalesce(F.max(id_), F.lit(0)).cast("bigint").alias("_most"))
+    most = existing.agg(F.coalesce(F.max(id_), F.lit(0)).cast("bigint").alias("_most")).scalar()
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    ranked = placed.withColumn("_rank", rank).join(F.broadcast(offsets), "_bucket").join(F.broadcast(most))
-    return ranked.withColumn(id_, F.col("_most") + F.col("_offset") + F.col("_rank")).drop("_bucket", "_rank", "_offset", "_most")
+    ranked = placed.withColumn("_rank", rank).join(F.broadcast(offsets), "_bucket")
+    return ranked.withColumn(id_, most + F.col("_offset") + F.col("_rank")).drop("_bucket", "_rank", "_offset")
 
 
 def valid_memories(incoming: DataFrame) -> DataFrame:
@@ -124,9 +124,10 @@ def rename(memories: DataFrame, namespace: str, old: str, new: str, now: int) ->
     """A memory under a new name; a deleted one under that name is dropped, a live one keeps the old name in place."""
     slug = new.lower().replace("_", "-").replace(" ", "-").strip("-")
     here = F.col("namespace") == namespace
-    taken = memories.where(here & (F.col("name") == slug) & F.col("deleted_at").isNull()).agg(F.count(F.lit(1)).alias("_taken"))
+    taken = memories.where(here & (F.col("name") == slug) & F.col("deleted_at").isNull()).agg(F.count(F.lit(1)).alias("_taken")).scalar()
+    rows = memories.withColumn("_taken", taken)
     hit = here & (F.col("name") == old) & F.col("deleted_at").isNull() & (F.col("_taken") == 0)
-    rows = memories.join(F.broadcast(taken)).where(~(here & (F.col("name") == slug) & F.col("deleted_at").isNotNull() & (F.lit(slug) != F.lit(old))))
+    rows = rows.where(~(here & (F.col("name") == slug) & F.col("deleted_at").isNotNull() & (F.lit(slug) != F.lit(old))))
     return rows.withColumn("updated_at", F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))).withColumn("name", F.when(hit, F.lit(slug)).otherwise(F.col("name"))).drop("_taken")
 
 

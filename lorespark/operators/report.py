@@ -16,14 +16,16 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
+def rows_of(df: DataFrame) -> Column:
+    """The number of rows as a scalar subquery."""
+    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def overview(memories: DataFrame, entities: DataFrame, relationships: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """One row: live memories, their mean length and namespaces, entities, edges, chunks."""
     m = live(memories).agg(F.count(F.lit(1)).alias("memories"), F.coalesce(F.avg(F.length("body")), F.lit(0.0)).alias("avg_body_len"), F.countDistinct("namespace").alias("namespaces"))
-    one = m
-    for df, name in ((entities, "entities"), (relationships, "relationships"), (chunks, "chunks")):
-        if df is not None:
-            one = one.join(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))  # one row each
-    return one
+    others = {"entities": entities, "relationships": relationships, "chunks": chunks}
+    return m.select("*", *(rows_of(df).alias(name) for name, df in others.items() if df is not None))
 
 
 def count_by_type(memories: DataFrame) -> DataFrame:
@@ -42,8 +44,7 @@ def relation_counts(relationships: DataFrame) -> DataFrame:
 def relation_concentration(relationships: DataFrame) -> DataFrame:
     """``(relation, n, share, warn)`` of the most frequent relation."""
     counts = relation_counts(relationships.where(F.col("relation").isNotNull()))
-    total = relationships.agg(F.count(F.lit(1)).alias("_total"))
-    top = counts.orderBy(F.desc("n"), "relation").limit(1).join(F.broadcast(total))
+    top = counts.orderBy(F.desc("n"), "relation").limit(1).withColumn("_total", rows_of(relationships))
     return top.select("relation", "n", ratio(F.col("n"), F.col("_total")).alias("share"), (F.col("n") > RELATION_WARN * F.col("_total")).alias("warn"))
 
 
@@ -63,9 +64,8 @@ def graph_stats(entities: DataFrame, relationships: DataFrame, namespace: str |
     """``(node_count, edge_count, max_degree, max_live_degree, avg_degree)``; avg = 2 E / N."""
     nodes, edges = in_namespaces(entities, namespace), in_namespaces(relationships, namespace)
     n = nodes.agg(F.count(F.lit(1)).alias("node_count"), F.max("degree").alias("max_degree"))
-    e = edges.agg(F.count(F.lit(1)).alias("edge_count"))
-    d = endpoints(edges).groupBy("entity_id").agg(F.count(F.lit(1)).alias("d")).agg(F.coalesce(F.max("d"), F.lit(0)).alias("max_live_degree"))
-    one = n.join(F.broadcast(e)).join(F.broadcast(d))
+    d = endpoints(edges).groupBy("entity_id").agg(F.count(F.lit(1)).alias("d")).agg(F.coalesce(F.max("d"), F.lit(0)).alias("d"))
+    one = n.select("*", rows_of(edges).alias("edge_count"), d.scalar().alias("max_live_degree"))
     return one.select("node_count", "edge_count", "max_degree", "max_live_degree", F.coalesce(ratio(F.col("edge_count") * 2.0, F.col("node_count")), F.lit(0.0)).alias("avg_degree"))
 
 
@@ -121,6 +121,5 @@ def queue_state(queue: DataFrame, backlog: DataFrame, now: int) -> DataFrame:
     """``(state)``: draining, cooldown, pending-scan or empty."""
     later = F.col("next_retry_at").isNotNull() & (F.col("next_retry_at") > now)
     q = queue.agg(F.count_if((F.col("status") == "processing") | (F.col("status") == "pending") & ~later).alias("_now"), F.count_if((F.col("status") == "pending") & later).alias("_later"))
-    b = backlog.agg(F.count(F.lit(1)).alias("_todo"))
-    state = F.when(F.col("_now") > 0, "draining").when(F.col("_later") > 0, "cooldown").when(F.col("_todo") > 0, "pending-scan").otherwise("empty")
-    return q.join(F.broadcast(b)).select(state.alias("state"))
+    state = F.when(F.col("_now") > 0, "draining").when(F.col("_later") > 0, "cooldown").when(rows_of(backlog) > 0, "pending-scan").otherwise("empty")
+    return q.select(state.alias("state"))

@@ -69,6 +69,12 @@ def p2_report(s: Store) -> DataFrame:
 # scans and lookups
 
 
+def _name(s: Store, id_: int) -> tuple[str, str]:
+    """Namespace and name of one memory, as a caller would give them."""
+    row = s.memories.where(F.col("id") == id_).select("namespace", "name").first()
+    return (row["namespace"], row["name"]) if row else (NS, "none")
+
+
 @query("SELECT id, name, type, description, substring(body, 1, 200) AS snippet, updated_at, deleted_at IS NOT NULL AS deleted FROM mem WHERE namespace = 'global' AND deleted_at IS NULL ORDER BY updated_at DESC, id LIMIT 50")
 def list_memories(s: Store) -> DataFrame:
     return scan.list_memories(s.memories, NS)
@@ -94,14 +100,16 @@ def memories_with_version(s: Store) -> DataFrame:
     return scan.with_version(scan.live(s.memories, NS).select("id", "name"), s.versions)
 
 
-@query("SELECT m.id, m.namespace, m.name, m.body, max(v.version) AS version FROM mem m LEFT JOIN ver v ON v.memory_id = m.id WHERE m.id = 2 AND m.namespace = 'global' AND m.deleted_at IS NULL GROUP BY ALL")
+@query("SELECT m.id, m.namespace, m.name, m.body, max(v.version) AS version FROM mem m LEFT JOIN ver v ON v.memory_id = m.id WHERE m.id = 2 AND m.deleted_at IS NULL GROUP BY ALL")
 def read_memory(s: Store) -> DataFrame:
-    return scan.read_memory(s.memories, s.versions, NS, id_=2).select("id", "namespace", "name", "body", "version")
+    namespace, name = _name(s, 2)
+    return scan.read_memory(s.memories, s.versions, namespace, name).select("id", "namespace", "name", "body", "version")
 
 
-@query("SELECT id, name, deleted_at IS NOT NULL AS deleted FROM mem WHERE namespace = 'global' AND name IN ('shared-health-report-1', 'quiet-alias-list-3', 'absent')")
+@query("SELECT id, name, deleted_at IS NOT NULL AS deleted FROM mem WHERE namespace = (SELECT namespace FROM mem WHERE id = 1) AND (name IN (SELECT name FROM mem WHERE id = 1) OR name = 'absent')")
 def find_any_state(s: Store) -> DataFrame:
-    return scan.find_any_state(s.memories, NS, ["shared-health-report-1", "quiet-alias-list-3", "absent"])
+    namespace, name = _name(s, 1)
+    return scan.find_any_state(s.memories, namespace, [name, "absent"])
 
 
 @query("SELECT namespace, sha256(body) AS body_hash, count(*) AS n, min(id) AS first_id FROM mem WHERE deleted_at IS NULL AND body IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
@@ -528,12 +536,12 @@ def purge(s: Store) -> DataFrame:
 
 @query("SELECT id, name, type, CASE WHEN id = 3 AND deleted_at IS NULL THEN 'edited' ELSE description END AS description FROM mem")
 def edit_memory(s: Store) -> DataFrame:
-    return mutate.edit(s.memories, NS, "quiet-alias-list-3", NOW, description="edited").select("id", "name", "type", "description")
+    return mutate.edit(s.memories, *_name(s, 3), NOW, description="edited").select("id", "name", "type", "description")
 
 
 @query("SELECT id, CASE WHEN id = 3 AND deleted_at IS NULL THEN 'another-name' ELSE name END AS name FROM mem")
 def rename_memory(s: Store) -> DataFrame:
-    return mutate.rename(s.memories, NS, "quiet-alias-list-3", "Another_name", NOW).select("id", "name")
+    return mutate.rename(s.memories, *_name(s, 3), "Another_name", NOW).select("id", "name")
 
 
 @query(f"""

@@ -32,7 +32,7 @@ def graph_lines(entities: DataFrame, relationships: DataFrame, namespace: str |
     nodes, edges, _ = snapshot(entities, relationships, namespace)
     n = nodes.select(F.lit(0).alias("part"), "id", F.to_json(F.struct(F.lit("node").alias("kind"), "id", "name", "type")).alias("line"))
     e = edges.select(F.lit(1).alias("part"), "id", F.to_json(F.struct(F.lit("edge").alias("kind"), "id", F.col("source_name").alias("source"), F.col("target_name").alias("target"), "relation", "weight")).alias("line"))
-    counts = nodes.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"))))
+    counts = nodes.agg(F.count(F.lit(1)).alias("nodes")).withColumn("edges", edges.agg(F.count(F.lit(1)).alias("edges")).scalar())
     s = counts.select(F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("id"), F.to_json(F.struct(F.lit("summary").alias("kind"), "nodes", "edges")).alias("line"))
     return n.unionByName(e).unionByName(s).orderBy("part", "id")
 

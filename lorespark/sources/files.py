@@ -20,7 +20,7 @@ def namespace(given: str | None = None) -> str:
 
 def directory(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = False, most: int | None = FILES_MOST) -> DataFrame:
     """``(path, body)``: whole files in the order of their paths, the first ``most`` (a documented limit of the source; None for all)."""
-    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     return rows.orderBy("path").limit(most) if most is not None else rows
 
