@@ -31,12 +31,12 @@ BUCKETS = 64
 
 @dataclass
 class PairTable:
-    """bindings (basket, item); pairs (bucket, item_a, item_b, n); items (bucket, item, n, big); baskets (n); big (basket, bit)."""
+    """bindings (basket, item); pairs (bucket, item_a, item_b, n); items (bucket, item, n, big); total baskets; big (basket, bit)."""
 
     bindings: DataFrame
     pairs: DataFrame
     items: DataFrame
-    total: DataFrame
+    total: int
     big: DataFrame
 
 
@@ -71,18 +71,16 @@ def emit_pairs(bindings: DataFrame) -> DataFrame:
     return paired.where(wanted).select("basket", F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"))
 
 
-def _useful(items: DataFrame, total: DataFrame, least: int, ratio: float) -> DataFrame:
-    """Items that can be in a reported pair: n >= least, and ratio * n * least' <= total for any partner."""
-    # n_ab <= min(n_a, n_b), so n_ab * N >= ratio * n_a * n_b needs max(n_a, n_b) <= N / ratio
-    return items.join(F.broadcast(total), how="cross").where((F.col("n") >= least) & (F.col("n") * ratio <= F.col("total"))).select("item")
+def _useful(items: DataFrame, total: int, least: int, ratio: float) -> DataFrame:
+    """Items that can be in a reported pair: n_ab <= min(n_a, n_b), so the ratio needs max(n_a, n_b) <= total / ratio."""
+    return items.where((F.col("n") >= least) & (F.col("n") * ratio <= total)).select("item")
 
 
 def build(bindings: DataFrame, least: int = LEAST, ratio: float = RATIO) -> PairTable:
     """The table over clean ``bindings``: the change from nothing."""
     b = materialize(bindings, "bindings")
     sizes = b.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    # one row: the number of baskets
-    total = materialize(sizes.agg(F.count(F.lit(1)).alias("total")), "total")
+    total = sizes.count()
     top = sizes.orderBy(F.desc("size"), "basket").limit(least - 1).collect()  # least - 1 rows
     spark = b.sparkSession
     big = spark.createDataFrame([(r["basket"], k) for k, r in enumerate(top)], f"basket {b.schema['basket'].dataType.simpleString()}, bit int")
@@ -124,8 +122,8 @@ def merge(table: PairTable, changes: DataFrame) -> tuple[PairTable, DataFrame]:
     pair_deltas, item_deltas = materialize(pair_deltas, "pair-deltas"), materialize(item_deltas, "item-deltas")
     pairs = table.pairs.select("item_a", "item_b", "n").unionByName(pair_deltas.withColumnRenamed("d", "n")).groupBy("item_a", "item_b").agg(F.sum("n").alias("n")).where("n > 0")
     items = table.items.select("item", "n").unionByName(item_deltas.withColumnRenamed("d", "n")).groupBy("item").agg(F.sum("n").alias("n")).where("n > 0")
-    total = after.select("basket").distinct().agg(F.count(F.lit(1)).alias("total"))
-    new = PairTable(after, materialize(pairs.withColumn("bucket", _bucket("item_a", "item_b")), "pairs"), materialize(items.withColumn("big", F.lit(0)).withColumn("bucket", _bucket("item")), "items"), materialize(total, "total"), table.big)
+    total = after.select("basket").distinct().count()
+    new = PairTable(after, materialize(pairs.withColumn("bucket", _bucket("item_a", "item_b")), "pairs"), materialize(items.withColumn("big", F.lit(0)).withColumn("bucket", _bucket("item")), "items"), total, table.big)
     by_item = item_deltas.select("item")
     touched = pair_deltas.select("item_a", "item_b").union(new.pairs.select("item_a", "item_b", F.col("item_a").alias("item")).join(by_item, "item", "left_semi").select("item_a", "item_b")).union(new.pairs.select("item_a", "item_b", F.col("item_b").alias("item")).join(by_item, "item", "left_semi").select("item_a", "item_b")).distinct()
     return new, scores(new).join(touched, ["item_a", "item_b"], "left_semi")
@@ -135,9 +133,9 @@ def scores(table: PairTable) -> DataFrame:
     """``(item_a, item_b, n_ab, n_a, n_b, baskets, lift)`` of the pairs in the table."""
     a = table.items.select(F.col("item").alias("item_a"), F.col("n").alias("n_a"), F.col("big").alias("big_a"))
     b = table.items.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"), F.col("big").alias("big_b"))
-    both = table.pairs.select("item_a", "item_b", "n").join(a, "item_a").join(b, "item_b").join(F.broadcast(table.total), how="cross")
+    both = table.pairs.select("item_a", "item_b", "n").join(a, "item_a").join(b, "item_b")
     n_ab = F.col("n") + F.bit_count(F.col("big_a").bitwiseAND(F.col("big_b")))
-    return both.select("item_a", "item_b", n_ab.alias("n_ab"), "n_a", "n_b", F.col("total").alias("baskets")).withColumn("lift", F.col("n_ab") * F.col("baskets") / (F.col("n_a") * F.col("n_b")))
+    return both.select("item_a", "item_b", n_ab.alias("n_ab"), "n_a", "n_b", F.lit(table.total).cast("bigint").alias("baskets")).withColumn("lift", F.col("n_ab") * F.col("baskets") / (F.col("n_a") * F.col("n_b")))
 
 
 def associated(table: PairTable, least: int = LEAST, ratio: float = RATIO) -> DataFrame:
