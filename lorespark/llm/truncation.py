@@ -38,6 +38,8 @@ SENTENCE_END = regex.compile(r"(?<=[.!?]['\"”’»)\]*_]?)\s+|(?<=[。！？][
 ITEM = re.compile(r"\s*(?:[-*+•–—]{1,2}\s|\[[ xX]?\]|\(?\w{1,3}[.)]\s|#{1,6}\s|>|\|)")
 DIGITS = re.compile(r"\d+")
 SEEN_AT_ONCE = 500_000
+#: Characters of a text that decide its range, and texts sampled a range.
+RANGE_PREFIX, RANGE_SAMPLE = 512, 20
 
 
 def sentences(text: str) -> list[str]:
@@ -173,7 +175,8 @@ def prefix_copies(values: DataFrame, text: str, least: int = 20) -> DataFrame:
     spark = values.sparkSession
     only = values.select(F.col(text).alias("text")).where(F.length(text) >= least).mapInArrow(distinct, "text string")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = only.repartitionByRange(parts, "text").sortWithinPartitions("text")
+    # the ranges are drawn from a few bounded prefixes, which are what the driver gets; the order is of whole texts
+    ordered = only.withColumn("_head", F.substring("text", 1, RANGE_PREFIX)).repartitionByRange(parts, "_head").sortWithinPartitions("text").select("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId()
@@ -191,7 +194,13 @@ def prefix_copies(values: DataFrame, text: str, least: int = 20) -> DataFrame:
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([at], pa.int32()), pa.array([first]), pa.array([last])], ["text_hash", "part", "first", "last"])
 
-    scanned = materialize(ordered.mapInArrow(scan, "text_hash bigint, part int, first string, last string"), "prefix-copies")
+    sampled = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(sampled)
+    spark.conf.set(sampled, str(RANGE_SAMPLE))
+    try:
+        scanned = materialize(ordered.mapInArrow(scan, "text_hash bigint, part int, first string, last string"), "prefix-copies")
+    finally:
+        spark.conf.set(sampled, before)
     edges = scanned.where(F.col("part").isNotNull())  # one row a range
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
