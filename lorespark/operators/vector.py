@@ -169,6 +169,10 @@ def encode_vector(vector: Column) -> Column:
     return encode(vector)
 
 
+#: What a model of asymmetric search expects before a text.
+QUERY_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
+
+
 def entity_text(name: Column, description: Column) -> Column:
     """What an entity's vector is made from."""
     return F.concat_ws(" ", name, F.when(description != "", description))

@@ -50,3 +50,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many tasks as cores before heavy Python work.
+
+    Only a scan of fewer splits than cores, one small file say, is redistributed; beyond, nothing is moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

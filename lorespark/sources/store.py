@@ -18,6 +18,14 @@ from lorespark.sources.tables import table
 DIM = 64
 
 
+#: What records are told apart by: the key, and the small columns queries filter by. Records delivered twice are
+#: equal in every column, so this equals the key alone, but filters on these columns go below the deduplication
+#: and reach the scan, while the large columns can still be pruned.
+MEMORY_KEY = ("id", "namespace", "name", "type", "deleted_at", "updated_at")
+ENTITY_KEY = ("id", "namespace", "name", "type", "degree")
+RELATIONSHIP_KEY = ("id", "namespace", "source_id", "target_id", "relation", "weight")
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -27,15 +35,15 @@ class Store:
 
     @cached_property
     def memories(self) -> DataFrame:
-        return distinct_records(self.raw("memories"), "id")
+        return distinct_records(self.raw("memories"), *MEMORY_KEY)
 
     @cached_property
     def entities(self) -> DataFrame:
-        return distinct_records(self.raw("entities"), "id")
+        return distinct_records(self.raw("entities"), *ENTITY_KEY)
 
     @cached_property
     def relationships(self) -> DataFrame:
-        return distinct_records(self.raw("relationships"), "id")
+        return distinct_records(self.raw("relationships"), *RELATIONSHIP_KEY)
 
     @cached_property
     def bindings(self) -> DataFrame:

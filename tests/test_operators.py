@@ -242,3 +242,22 @@ def test_streams(spark, tmp_path):
     counts = ingest.counts_by_window(stream, "ts", "namespace").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     counts.awaitTermination()
     assert sorted(r["n"] for r in spark.table("windows").collect()) == [1, 2]
+
+
+def test_staged_rows(spark, as_rows):
+    staged = spark.createDataFrame([(1, "validated", 0, 1), (2, "committed", 1, 1), (3, "failed", 2, 90)], "pending_id bigint, status string, attempt_count int, updated_at bigint")
+    ids = spark.createDataFrame([(1,), (2,), (9,)], "pending_id bigint")
+    after = mutate.stage_transition(staged, ids, "embedding_in_progress", ["validated", "failed"], 50)
+    assert as_rows(after, "pending_id", "status", "attempt_count", "updated_at") == [(1, "embedding_in_progress", 1, 50), (2, "committed", 1, 1), (3, "failed", 2, 90)]
+    assert as_rows(mutate.clean_staged(staged, 80), "pending_id") == [(1,), (3,)]
+
+
+def test_filters_reach_the_scan_below_the_deduplication(spark, data):
+    from lorespark.operators import scan
+    from lorespark.sources.store import Store
+
+    s = Store(spark, data)
+    plan = scan.live(s.memories, "global", "note").select("id", "description")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "EqualTo(namespace,global)" in pushed or "In(namespace" in pushed
+    assert "IsNull(deleted_at)" in pushed and "body" not in plan
