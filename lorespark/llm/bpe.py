@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.runtime import spread
+
 #: Fixed value: the split pattern published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -171,7 +173,7 @@ def encode_ids(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, flat)], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_ids(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
@@ -185,4 +187,4 @@ def count_ids(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n)], [key, "n_tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")

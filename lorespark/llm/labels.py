@@ -176,7 +176,8 @@ def variants(records: DataFrame, entries: DataFrame, labels: DataFrame) -> DataF
     ``records``: (field, id, vocabulary, value); ``labels``: (vocabulary, label).
     """
     known = labels.where(F.col("label").isNotNull()).select("vocabulary", F.col("label").alias("value")).distinct()
-    others = records.where(F.col("value").isNotNull()).join(F.broadcast(known) if _small(known) else known, ["vocabulary", "value"], "left_anti").dropDuplicates(["field", "id"])
+    plain = records.select("field", "id", "vocabulary", "value")
+    others = plain.where(F.col("value").isNotNull()).join(F.broadcast(known) if _small(known) else known, ["vocabulary", "value"], "left_anti").dropDuplicates(["field", "id"])
     return others.join(typed_labels(others.select("vocabulary", "value"), entries), ["vocabulary", "value"]).select("field", "id", "label")
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.runtime import materialize
+from lorespark.runtime import materialize, spread
 
 COORDINATES = 64  # minwise tokens of a text
 TREES = 8
@@ -99,7 +99,7 @@ def signed(df: DataFrame, key: str, text: str, width: int, least_words: int) ->
     kind = df.schema[key].dataType.simpleString()
     # a text of n words has at least 2n-1 characters, so short ones never reach Python
     long = df.select(key, text).where(F.length(text) >= 2 * least_words - 1)
-    return long.mapInArrow(run, f"`{key}` {kind}, words_hash bigint, text_hash bigint, roots array<bigint>, tokens binary")
+    return spread(long).mapInArrow(run, f"`{key}` {kind}, words_hash bigint, text_hash bigint, roots array<bigint>, tokens binary")
 
 
 def _drawn(node: np.ndarray, share: float, draw: int) -> np.ndarray:

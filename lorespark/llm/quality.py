@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.runtime import spread
+
 PUNCTUATION = " .,;:!?…。、！？؟।\"'`´“”„«»‹›‘’()[]{}<>（）［］「」『』【】|│║/\\*_#=+~^-–—•·"
 SENTENCE_END = frozenset(".!?…。！？؟।:;")
 CLOSERS = "\"'”’»)]}）」』*_` \t"
@@ -282,7 +284,7 @@ def text_statistics(df: DataFrame, key: str, text: str, common_words: list[tuple
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kinds[k]) for c, (_, k) in zip(got, COLUMNS))], [key, *(c for c, _ in COLUMNS)])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} {k}" for c, k in COLUMNS))
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} {k}" for c, k in COLUMNS))
 
 
 def not_prose(statistics: DataFrame, key: str) -> DataFrame:

@@ -16,8 +16,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "memories").select("id", "body").dropDuplicates(["id"])
-    return splitting.split_texts(rows, "id", "body")
+    return splitting.split_texts(table(spark, sf, "memories"), "id", "body").dropDuplicates(["id", "piece"])
 
 
 def _near(spark: SparkSession, sf: str) -> neardup.NearDuplicates:

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.runtime import spread
+
 LIMIT, OVERLAP = 800, 100
 SENTENCE_MARKS = "。！？"  # fixed value: sentence ends that no white space follows
 #: Boundaries by strength: the end of each match is a place to cut.
@@ -135,7 +137,7 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
 
     kind = df.schema[key].dataType.simpleString()
     long = df.select(F.col(key), F.col(text)).where(F.octet_length(F.col(text)) > limit)
-    return long.mapInArrow(run, f"`{key}` {kind}, piece int, begin bigint, end bigint, cut string, text string")
+    return spread(long).mapInArrow(run, f"`{key}` {kind}, piece int, begin bigint, end bigint, cut string, text string")
 
 
 def cut_kinds(pieces: DataFrame, key: str) -> DataFrame:

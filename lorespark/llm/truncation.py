@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.runtime import materialize
+from lorespark.runtime import materialize, spread
 
 #: Lengths of the prefixes by which fragments and openings are joined, in characters after folding of numbers.
 PREFIXES = (1, 2, 3, 4, 6, 8, 12, 16)
@@ -109,7 +109,7 @@ def openings(values: DataFrame, text: str) -> DataFrame:
                 yield flush()
         yield flush()
 
-    counted = values.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "prefix string, finished bigint, unfinished bigint")
+    counted = spread(values.select(text).where(F.col(text).isNotNull())).mapInArrow(run, "prefix string, finished bigint, unfinished bigint")
     return counted.groupBy("prefix").agg(F.sum("finished").alias("finished"), F.sum("unfinished").alias("unfinished"))
 
 
@@ -129,7 +129,7 @@ def fragments(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(hashes, pa.int64()), pa.array(found, pa.string()), pa.array(code, pa.bool_())], [field, key, "text_hash", "fragment", "open_code"])
 
     kind = values.schema[key].dataType.simpleString()
-    return values.select(field, key, text).mapInArrow(run, f"`{field}` string, `{key}` {kind}, text_hash bigint, fragment string, open_code boolean")
+    return spread(values.select(field, key, text)).mapInArrow(run, f"`{field}` string, `{key}` {kind}, text_hash bigint, fragment string, open_code boolean")
 
 
 def _hash(text: str) -> int:
