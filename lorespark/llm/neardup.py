@@ -32,6 +32,7 @@ TREES = 8
 LEAF = 48  # nodes up to this size are compared exhaustively
 NODE_MOST = 20_000  # larger nodes branch again before a task gathers them
 DEPTH_MOST = 12
+PAIRS_AT_ONCE = 1_000_000
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 _rng = np.random.default_rng(20_240_117)
 _MULTIPLY = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,14 +143,16 @@ def _likeness_to_node(vectors: np.ndarray) -> np.ndarray:
     return total / (len(vectors) * vectors.shape[1])
 
 
-def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similarity: float, looks: float) -> np.ndarray:
+def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similarity: float, looks: float) -> Iterator[np.ndarray]:
     """Pairs of rows ``(a, b)``, a < b, that share a leaf and whose vectors agree on ``looks`` of the coordinates.
 
+    They come in parts of bounded size; a pair may come in several parts.
+
     Nodes up to ``LEAF`` are compared at once, all nodes together, shift by shift. In a larger node the members
     that are alike to the node as a whole are compared with all of it and leave it, since no branching would
     part them; the others branch.
     """
-    found = [np.zeros((0, 2), np.int64)]
+    found: list[np.ndarray] = []
     least = looks * tokens.shape[1]
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
@@ -158,7 +161,12 @@ def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similar
             ok = (x != y) & ((tokens[x] == tokens[y]).sum(axis=1) >= least)
             if ok.any():
                 x, y = x[ok], y[ok]
-                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+
+    def part() -> np.ndarray:
+        out = np.unique(np.concatenate(found), axis=0)
+        found.clear()
+        return out
 
     for depth in range(DEPTH_MOST + 1):
         if not len(node):
@@ -177,6 +185,8 @@ def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similar
             active = active[n[active] == n[active + shift]]
             keep(r[active], r[active + shift])
             shift += 1
+            if sum(map(len, found)) > PAIRS_AT_ONCE:
+                yield part()
         node, row = node[~small], row[~small]
         if len(node):
             ends = np.concatenate([np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])), [len(node)]])
@@ -187,8 +197,11 @@ def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similar
                 stay[a + close] = False
                 for m in close:
                     keep(np.full(b - a, members[m]), members)
+                    if len(found) > 1000 or found and len(found) * (b - a) > PAIRS_AT_ONCE:
+                        yield part()
             node, row = branch(node[stay], row[stay], tokens, similarity)
-    return np.unique(np.concatenate(found), axis=0)
+    if found:
+        yield part()
 
 
 def candidate_pairs(classes: DataFrame, similarity: float, looks: float) -> DataFrame:
@@ -230,30 +243,28 @@ def candidate_pairs(classes: DataFrame, similarity: float, looks: float) -> Data
         held: list[pa.RecordBatch] = []
         rows = 0
 
-        def flush(batch_list: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
-            t = pa.Table.from_batches(batch_list)
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            t = pa.Table.from_batches(held)
             node = t.column(0).to_numpy()
-            keep_from = len(node) if last else int(np.searchsorted(node, node[-1]))
-            if keep_from == 0 and not last:
-                return None, batch_list
-            head = t.slice(0, keep_from)
-            cls, at = np.unique(head.column(1).to_numpy(), return_inverse=True)
-            vectors = np.empty((len(cls), COORDINATES), np.uint8)
-            vectors[at] = np.frombuffer(b"".join(head.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            pairs = compare_nodes(node[:keep_from], at.reshape(-1), vectors, similarity, looks)
-            out = pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, 0]], pa.int64()), pa.array(cls[pairs[:, 1]], pa.int64())], ["class_a", "class_b"])
-            return out, t.slice(keep_from).combine_chunks().to_batches()
+            upto = len(node) if last else int(np.searchsorted(node, node[-1]))
+            if upto:
+                head = t.slice(0, upto)
+                cls, at = np.unique(head.column(1).to_numpy(), return_inverse=True)
+                vectors = np.empty((len(cls), COORDINATES), np.uint8)
+                vectors[at] = np.frombuffer(b"".join(head.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+                for pairs in compare_nodes(node[:upto], at.reshape(-1), vectors, similarity, looks):
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, 0]], pa.int64()), pa.array(cls[pairs[:, 1]], pa.int64())], ["class_a", "class_b"])
+            held = t.slice(upto).combine_chunks().to_batches()
+            rows = len(node) - upto
 
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
             if rows >= 200_000:
-                out, held = flush(held, False)
-                rows = sum(b.num_rows for b in held)
-                if out is not None:
-                    yield out
+                yield from ready(False)
         if rows:
-            yield flush(held, True)[0]
+            yield from ready(True)
 
     met = spread.repartition(parts, "node").sortWithinPartitions("node").select("node", "class", "tokens").mapInArrow(leaves, "class_a bigint, class_b bigint")
     return met.distinct()
