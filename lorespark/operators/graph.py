@@ -31,30 +31,32 @@ def steps(relationships: DataFrame, namespace: str | None = None, min_weight: fl
     return out if direction == "out" else back if direction == "in" else out.unionByName(back)
 
 
-def bfs(walkable: DataFrame, seeds: DataFrame, hops: int = HOPS, cap: int | None = None) -> DataFrame:
-    """``(entity_id, hop, parent_id, rel_id, relation, weight, path_weight, path)``: every entity at its least distance.
+def bfs(walkable: DataFrame, seeds: DataFrame, hops: int = HOPS, cap: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, entity_id, hop, parent_id, rel_id, relation, weight, path_weight, path)``: every entity at its least distance.
 
-    ``walkable`` as from ``steps``; ``seeds``: (entity_id), of hop 0. With ``cap`` an entity hands on to its
-    heaviest so many neighbours that aren't visited yet. Of several ways to an entity the one from the parent
-    found first (by id) over the heaviest edge is kept. ``path`` lists the edges from the seed.
+    ``walkable`` as from ``steps``; ``seeds``: (*by, entity_id), of hop 0; several searches, told apart by the
+    columns ``by``, go through the same joins. With ``cap`` an entity hands on to its heaviest so many neighbours
+    that aren't visited yet. Of several ways to an entity the one from the parent found first (by id) over the
+    heaviest edge is kept. ``path`` lists the edges from the seed.
     """
+    by = list(by)
     step = F.struct(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "relation", "weight")
     none = F.array().cast("array<struct<from_id:bigint,to_id:bigint,relation:string,weight:double>>")
-    start = seeds.where(F.col("entity_id").isNotNull()).select(F.col("entity_id").cast("bigint").alias("entity_id")).distinct()
-    frontier = materialize(start.select("entity_id", F.lit(0).alias("hop"), *(F.lit(None).cast(t).alias(c) for c, t in (("parent_id", "bigint"), ("rel_id", "bigint"), ("relation", "string"), ("weight", "double"))), F.lit(1.0).alias("path_weight"), none.alias("path")), "frontier")
+    start = seeds.where(F.col("entity_id").isNotNull()).select(*by, F.col("entity_id").cast("bigint").alias("entity_id")).distinct()
+    frontier = materialize(start.select(*by, "entity_id", F.lit(0).alias("hop"), *(F.lit(None).cast(t).alias(c) for c, t in (("parent_id", "bigint"), ("rel_id", "bigint"), ("relation", "string"), ("weight", "double"))), F.lit(1.0).alias("path_weight"), none.alias("path")), "frontier")
     visited = frontier
     for hop in range(1, hops + 1):
-        at = frontier.select(F.col("entity_id").alias("src"), F.col("path_weight").alias("_pw"), F.col("path").alias("_path"))
-        reached = walkable.join(at, "src").join(visited.select(F.col("entity_id").alias("dst")), "dst", "left_anti")
+        at = frontier.select(*by, F.col("entity_id").alias("src"), F.col("path_weight").alias("_pw"), F.col("path").alias("_path"))
+        reached = walkable.join(at, "src").join(visited.select(*by, F.col("entity_id").alias("dst")), [*by, "dst"], "left_anti")
         if cap is not None:
             # parallel edges count once against the cap
-            each = Window.partitionBy("src", "dst").orderBy(F.desc("weight"), "rel_id")
+            each = Window.partitionBy(*by, "src", "dst").orderBy(F.desc("weight"), "rel_id")
             reached = reached.withColumn("_n", F.row_number().over(each)).where("_n = 1")
-            reached = reached.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "rel_id"))).where(F.col("_n") <= cap)
+            reached = reached.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "src").orderBy(F.desc("weight"), "rel_id"))).where(F.col("_n") <= cap)
         # one way to each entity, chosen by an aggregation that combines before the shuffle
         best = F.min_by(F.struct("src", "rel_id", "relation", "weight", (F.col("_pw") * F.col("weight")).alias("path_weight"), F.concat("_path", F.array(step)).alias("path")), F.struct("src", -F.col("weight"), "rel_id"))
-        found = reached.groupBy(F.col("dst").alias("entity_id")).agg(best.alias("b"))
-        frontier = materialize(found.select("entity_id", F.lit(hop).alias("hop"), F.col("b.src").alias("parent_id"), "b.rel_id", "b.relation", "b.weight", "b.path_weight", "b.path"), "frontier")
+        found = reached.groupBy(*by, F.col("dst").alias("entity_id")).agg(best.alias("b"))
+        frontier = materialize(found.select(*by, "entity_id", F.lit(hop).alias("hop"), F.col("b.src").alias("parent_id"), "b.rel_id", "b.relation", "b.weight", "b.path_weight", "b.path"), "frontier")
         if hop < hops and frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

@@ -72,23 +72,20 @@ def research(memories: DataFrame, bindings: DataFrame, relationships: DataFrame,
     direct = materialize(candidates(memories, embeddings, vectors, texts, k), "candidates")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
     seeds = direct.withColumn("_n", first).where("_n <= 5")
-    mean = {r["query_id"]: r["m"] for r in seeds.groupBy("query_id").agg(F.avg("score").alias("m")).collect()}  # one row a sub-query
-    walkable = graph.steps(relationships, None, min_weight)
-    reached, chains = None, None
-    for q, m in sorted(mean.items()):
-        found = graph.bfs(walkable, graph.entities_of(bindings, seeds.where(F.col("query_id") == q)), hops, cap)
-        near = graph.memories_reached(found, bindings, memories, direct.where(F.col("query_id") == q))
-        near = near.select(F.lit(q).alias("query_id"), "memory_id", graph.decayed_score(F.lit(m), F.col("hop"), decay).alias("score"), F.lit("graph").alias("source"), "hop").where(F.col("score") >= min_score)
-        path = found.where("hop > 0").select(F.lit(q).alias("query_id"), F.col("path")[0]["from_id"].alias("from_id"), F.col("entity_id").alias("to_id"), (F.col("hop") + 1).alias("depth"), F.col("path_weight").alias("total_weight"), "path")
-        path = path.orderBy(F.desc("total_weight"), "from_id", "to_id").limit(CHAINS)
-        reached = near if reached is None else reached.unionByName(near)
-        chains = path if chains is None else chains.unionByName(path)
+    means = seeds.groupBy("query_id").agg(F.avg("score").alias("_mean"))  # one row a sub-query
+    entities = bindings.join(seeds.select("query_id", "memory_id"), "memory_id").select("query_id", "entity_id").distinct()
+    found = graph.bfs(graph.steps(relationships, None, min_weight), entities, hops, cap, ["query_id"]).where("hop > 0")
+    alive = memories.where(F.col("deleted_at").isNull()).select(F.col("id").alias("memory_id"))
+    hits = bindings.select("memory_id", "entity_id").join(found.select("query_id", "entity_id", "hop"), "entity_id").groupBy("query_id", "memory_id").agg(F.min("hop").alias("hop"))
+    hits = hits.join(alive, "memory_id", "left_semi").join(direct.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").join(means, "query_id")
+    reached = hits.select("query_id", "memory_id", graph.decayed_score(F.col("_mean"), F.col("hop"), decay).alias("score"), F.lit("graph").alias("source"), "hop").where(F.col("score") >= min_score)
+    ends = found.select("query_id", F.col("path")[0]["from_id"].alias("from_id"), F.col("entity_id").alias("to_id"), (F.col("hop") + 1).alias("depth"), F.col("path_weight").alias("total_weight"), "path")
+    heaviest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total_weight"), "from_id", "to_id"))
+    chains = ends.withColumn("_n", heaviest).where(F.col("_n") <= CHAINS).drop("_n")
     everything = direct.withColumn("hop", F.lit(0))
-    everything = everything.unionByName(reached) if reached is not None else everything
+    everything = everything.unionByName(reached)
     best = F.max_by(F.struct("score", "source", "hop"), F.struct("score", -F.col("hop"), -F.col("query_id")))
     merged = everything.groupBy("memory_id").agg(best.alias("b"), F.sort_array(F.collect_set("query_id")).alias("query_ids"))
     results = merged.select("memory_id", "b.score", "b.source", "b.hop", "query_ids").orderBy(F.desc("score"), "memory_id").limit(most)
-    if chains is None:
-        return results, direct.where(F.lit(False)).select(F.col("memory_id").alias("from_id"), F.col("memory_id").alias("to_id"), F.lit(0).alias("depth"), F.col("score").alias("total_weight"), F.array().cast("array<struct<from_id:bigint,to_id:bigint,relation:string,weight:double>>").alias("path"), "query_id")
     rest = F.min_by(F.struct("depth", "total_weight", "path", "query_id"), "query_id")
     return results, chains.groupBy("from_id", "to_id").agg(rest.alias("c")).select("from_id", "to_id", "c.*").orderBy(F.desc("total_weight"), "from_id", "to_id")
