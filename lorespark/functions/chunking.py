@@ -29,23 +29,27 @@ def _aligned(raw: bytes, at: int, step: int) -> int:
 
 
 def heuristic_spans(body: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Spans of at most ``size`` bytes that end after a paragraph, else a sentence, else a blank."""
+    """Spans of at most ``size`` bytes that end after a paragraph, else a sentence, else a blank.
+
+    A break within the overlap would end a span where the one before ended, so it doesn't count.
+    """
     raw = body.encode()
     total = len(raw)
     if total <= size:
         return [(0, total)]
-    spans, begin = [], 0
+    spans, begin, before = [], 0, 0
     while begin < total:
         end = limit = _aligned(raw, begin + size, -1)
         if limit < total:
             for mark in BREAKS:
                 found = raw.rfind(mark, begin, limit)
-                if found >= 0:
+                if found >= 0 and found + len(mark) > before:
                     end = found + len(mark)
                     break
         if end <= begin:
             end = limit if limit > begin else total
         spans.append((begin, end))
+        before = end
         if end >= total:
             break
         again = _aligned(raw, max(0, end - overlap), 1)

@@ -1,6 +1,6 @@
 """Scalar functions, chunkers and decomposition against plain Python."""
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -53,6 +53,7 @@ texts = st.text(alphabet=st.sampled_from("ab .\n#éあ!"), max_size=300)
 
 
 @settings(max_examples=200, deadline=None)
+@example("aaああ " + "a" * 25 + "あああ")
 @given(texts)
 def test_heuristic_chunks_cover(body):
     raw = body.encode()
