@@ -7,7 +7,9 @@ pairing anything. It is cut off if the longer copy goes on inside the same word
 Last fragments: what stands after the last sentence end of a text is joined by its fixed-length prefixes with
 the openings of all sentences of the corpus. If such an opening belongs, elsewhere, to sentences that come to
 their end, the fragment is a sentence without its end; if it is never finished (a signature, a list item, a
-headline, a note in passing), the writer meant it to end there.
+headline, a note in passing), the writer meant it to end there. Openings are counted over distinct texts, with
+or without a mark of omission, so that copies of a text bear no witness for or against one another. Only a text
+of a few characters counts once a record: such a note, `TODO` say, is written anew each time, not copied.
 
 Defined cases: null, empty and blank texts are never cut off; a mark of omission at the end is read as standing
 for the lost rest; repeated records give one row; texts are read whole.
@@ -32,7 +34,12 @@ from lorespark.runtime import materialize, spread
 PREFIXES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Other sentences an opening must have; fewer do against a fragment in small letters, as headlines and notes are.
 LEAST_SEEN, LEAST_SEEN_SMALL, LEAST_FINISHED = 3, 1, 0.6
-OMISSION = regex.compile(r"\s*(?:…|\.{3,}|[\[(<{]\s*(?:…|\.{2,}|truncated|cut|cut off|more|snip|continued|abgeschnitten|cortado|truncado)\s*[\])>}])\s*$", regex.I)
+MARK = r"(?:…|\.{3,}|[\[(<{]\s*(?:…|\.{2,}|truncated|cut|cut off|more|snip|continued|abgeschnitten|cortado|truncado)\s*[\])>}])"
+OMISSION = regex.compile(rf"\s*{MARK}\s*$", regex.I)
+#: Characters at the end of a text within which a mark of omission is taken off before copies are dropped.
+TAIL = 64
+#: Equal texts of so many characters are copies of one another, shorter ones may be written independently.
+LEAST_COPIED = 20
 FINISHED = regex.compile(r"[.!?。！？]['\"”’»)\]】」』）*_]*$")
 SENTENCE_END = regex.compile(r"(?<=[.!?]['\"”’»)\]*_]?)\s+|(?<=[。！？][」』）]?)")
 ITEM = re.compile(r"\s*(?:[-*+•–—]{1,2}\s|\[[ xX]?\]|\(?\w{1,3}[.)]\s|#{1,6}\s|>|\|)")
@@ -81,8 +88,8 @@ def _text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tu
             yield part, part.column(column).to_pylist()
 
 
-def openings(values: DataFrame, text: str) -> DataFrame:
-    """``(prefix, finished, unfinished)``: how often sentences that open so are finished. Counted over all rows, combined before the shuffle."""
+def openings(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
+    """``(prefix, finished, unfinished)``: how often sentences that open so are finished. Counted over distinct texts, short ones over records, combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: Counter[str] = Counter()
@@ -98,7 +105,7 @@ def openings(values: DataFrame, text: str) -> DataFrame:
         for _, texts in _text_batches(batches, 0):
             for t in texts:
                 if t:
-                    for s in sentences(t):
+                    for s in sentences(OMISSION.sub("", t)):
                         f = folded(s)
                         into = done if FINISHED.search(s) else open_
                         for p in PREFIXES:
@@ -109,7 +116,12 @@ def openings(values: DataFrame, text: str) -> DataFrame:
                 yield flush()
         yield flush()
 
-    counted = spread(values.select(text).where(F.col(text).isNotNull())).mapInArrow(run, "prefix string, finished bigint, unfinished bigint")
+    end = F.regexp_replace(F.right(F.col(text), F.lit(TAIL)), rf"(?i)\s*+(?:{MARK}\s*)?$", "")
+    bare = F.concat(F.left(F.col(text), F.length(text) - TAIL), end)
+    own = [F.when(F.length(bare) < LEAST_COPIED, F.col(c)) for c in (field, key)]
+    # copies are dropped within each map task first, so a text that many rows hold crosses once a task
+    once = values.where(F.col(text).isNotNull()).groupBy(F.xxhash64(bare, *own).alias("h")).agg(F.first(text).alias("text"))
+    counted = once.select("text").mapInArrow(run, "prefix string, finished bigint, unfinished bigint")
     return counted.groupBy("prefix").agg(F.sum("finished").alias("finished"), F.sum("unfinished").alias("unfinished"))
 
 
@@ -151,7 +163,7 @@ def unfinished_prefix(short: str, long: str) -> bool:
     return not FINISHED.search(bare) and long[len(bare) :].lstrip(" \t")[:1] not in ("", "\n", "\r", "(")
 
 
-def prefix_copies(values: DataFrame, text: str, least: int = 20) -> DataFrame:
+def prefix_copies(values: DataFrame, text: str, least: int = LEAST_COPIED) -> DataFrame:
     """``text_hash`` of every distinct text of ``least`` characters or more that a longer copy shows to be cut off.
 
     The texts are range-partitioned and sorted, so copies of one text spread over tasks by their order however
@@ -219,7 +231,7 @@ def truncated(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
     judged with one corpus.
     """
     kind = materialize(fragments(values, field, key, text), "fragments").dropDuplicates([field, key])
-    seen = openings(values, text)
+    seen = openings(values, field, key, text)
     lengths = F.array(*(F.lit(p) for p in PREFIXES))
     small = F.col("fragment").rlike(r"^\p{Ll}")
     least = F.when(small, LEAST_SEEN_SMALL).otherwise(LEAST_SEEN)
@@ -228,7 +240,7 @@ def truncated(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
     judged = probes.join(seen, "prefix").where(others >= F.col("least")).groupBy(field, key).agg(F.max_by(F.col("finished") / others, F.length("prefix")).alias("share"))
     by_fragment = judged.where(F.col("share") >= LEAST_FINISHED).select(field, key)
     by_code = kind.where("open_code").select(field, key)
-    hashed = values.select(field, key, text).where(F.length(text) >= 20)
+    hashed = values.select(field, key, text).where(F.length(text) >= LEAST_COPIED)
     copies = prefix_copies(values, text)
     by_copy = _with_hash(hashed, field, key, text).join(copies, "text_hash").select(field, key)
     return by_fragment.union(by_code).union(by_copy).distinct()

@@ -210,6 +210,17 @@ def test_cut_texts(spark, as_rows):
     assert ("c", "x", 1, 1, 1.0) in as_rows(rates)
 
 
+def test_copies_of_a_cut_text_bear_no_witness(spark, as_rows):
+    full = ["The scan of part %d took four minutes and left nothing behind." % k for k in range(40)]
+    whole = [("b", k, t) for k, t in enumerate(full)]
+    cut = [("b", 1000 + k, "All is well. " + full[7][:40]) for k in range(300)] + [("b", 2000 + k, "now the scan of pages an" + end) for k, end in enumerate(["", " ", "...", " [...]", "\n"])]
+    notes = [("b", 5000 + k, "The mood") for k in range(5)]
+    meant = [("b", 3000 + k, t + "\nThe scan of Anna") for k, t in enumerate(full)]
+    small = [("b", 4000, "now the scan of pages and texts is over.")]
+    df = spark.createDataFrame(whole + cut + notes + meant + small, "field string, id bigint, text string")
+    assert {r[1] for r in as_rows(truncation.truncated(df, "field", "id", "text"))} == {k for _, k, _ in cut}
+
+
 def test_prefix_copies_over_any_ranges(spark):
     rng = random.Random(2)
     long = ["".join(rng.choice("abc ") for _ in range(60)) + "xyz end" for _ in range(30)]
