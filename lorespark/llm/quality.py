@@ -2,7 +2,8 @@
 
 Lists and tables are found by their layout: the same delimiters at the same place of line after line (vertical
 alignment), a marker or an indent that comes back in a fixed rhythm (indentation periodicity) and line lengths
-that repeat (autocorrelation). The layout scores are combined with word, symbol and punctuation ratios, all
+that repeat (autocorrelation). Marks and delimiters decide line by line; a run of lines without them is judged
+by its periodicity, autocorrelation and alignment together with its word, symbol and punctuation ratios. All is
 weighted by characters, so that prose holding a small list, table or code stays prose. A word is a token between
 white space without the punctuation around it.
 
@@ -143,6 +144,49 @@ def _gibberish(text: str, words: list[str], common: frozenset[str], share: float
     return size >= 60 and size > 0.5 * n and sum(k for _, k in plain.most_common(8)) > 0.93 * size  # one row of keys
 
 
+def _rows_align(lines: list[str]) -> bool:
+    """Vertical alignment: nearly all blanks stand at the same places of line after line, in each phase of a record of 1 to 4 lines."""
+    for period in range(1, 5):
+        phases = [lines[k::period] for k in range(period)]
+        if len(phases[-1]) < 4:
+            return False
+        for rows in phases:
+            blanks = Counter(at for x in rows for at, c in enumerate(x) if c == " ")
+            aligned = sum(k for k in blanks.values() if k >= 0.8 * len(rows))
+            if aligned < len(rows) or aligned < 0.8 * blanks.total() or len(set(rows)) < 0.6 * len(rows):
+                break
+        else:
+            return True
+    return False
+
+
+def _layout_kind(lines: list[str], n_words: list[int]) -> str | None:
+    """'table' or 'list' for a run of lines without marks or delimiters that only its layout shows to be one.
+
+    Sentences that stop or run on, and lines filled up to a width, are prose whatever their lengths and indents.
+    """
+    n = len(lines)
+    if n < 4:
+        return None
+    rows = [x.expandtabs(4).rstrip() for x in lines]
+    ended = sum(_ends_sentence(x) or x[-1] in ",，、" for x in rows)
+    if max(ended, sum(bool(STOP.search(x)) for x in rows)) > 0.15 * n:
+        return None
+    lengths = np.array([len(x) for x in rows], float)
+    if _autocorrelation(lengths) >= 0.5 and _rows_align(rows):
+        return "table"
+    indents = [len(x) - len(x.lstrip()) for x in rows]
+    returns = sum(i != indents[k - 1] and i in indents[max(0, k - 6) : k - 1] for k, i in enumerate(indents) if k)
+    rhythm = sum(i in indents[max(0, k - 6) : k] for k, i in enumerate(indents))
+    if returns < max(2, 0.2 * n) or rhythm < 0.6 * n or sorted(n_words)[n // 2] < 4:
+        return None
+    filled = sum(lengths[k] + 1 + len(rows[k + 1].split(None, 1)[0]) > lengths.max() for k in range(n - 1))
+    signs = sum(len(SYMBOL.findall(x)) for x in rows)
+    if filled >= 0.5 * (n - 1) or signs > 0.06 * sum(len(x.replace(" ", "")) for x in rows):  # wrapped text, or code
+        return None
+    return "list"
+
+
 def _line_kinds(lines: list[str], words: list[list[str]], marks: list[str]) -> list[str]:
     """What each line looks like beside its neighbours."""
     cells = [_cells(x) for x in lines]
@@ -200,12 +244,12 @@ def _line_kinds(lines: list[str], words: list[list[str]], marks: list[str]) -> l
                 short = max(len(lines[k]) for k in range(at, to)) <= 24
             else:
                 short = counts[len(counts) // 2] <= 6 and sum(counts) <= 6.5 * len(counts)
-            listed = to - at >= 3 and short and stops <= 0.15 * (to - at)
+            listed = "list" if to - at >= 3 and short and stops <= 0.15 * (to - at) else _layout_kind(lines[at:to], [len(ws) for ws in words[at:to]])
             for k in range(at, to):
                 if kinds[k] == "pair" and pairs < 2:
                     kinds[k] = "text"
                 if listed and kinds[k] == "text":
-                    kinds[k] = "list"
+                    kinds[k] = listed
         at = max(to, at + 1)
     return kinds
 

@@ -3,6 +3,7 @@
 import base64
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -332,3 +333,19 @@ def test_kinds_of_texts(spark):
     assert [(i, got[i]["kind"], t) for i, t, kind in rows if got[i]["kind"] != kind] == []
     assert got[0]["word_count"] == len(PROSE.split()) and got[0]["line_end_punct_share"] == 1.0 and 0 < got[0]["symbol_ratio"] < 0.1
     assert quality.text_statistics(df.where("false"), "doc_id", "text", common).count() == 0
+
+
+TOPICS = ["the old index", "one slow scan of the archive", "memory of the first team", "a table nobody reads", "what the nightly job writes", "names in the large graph"]
+
+
+def test_layout_alone_shows_lists_and_tables():
+    rng = random.Random(8)
+    outline = "\n".join("    " * min(2, k % 4) + " ".join([rng.choice(TOPICS).capitalize(), "and", rng.choice(TOPICS), "with"[: 4 * (k % 2)], rng.choice(TOPICS)[: 30 * (k % 2)]]).rstrip() for k in range(24))
+    rows = "\n".join(f"{rng.randrange(1000):04} {rng.choice(['north', 'south'])} {rng.choice(['open', 'shut', 'held'])} {rng.randrange(100):03} {rng.choice(['Anna', 'Jens'])} {rng.randrange(100):03} {rng.choice(['scan', 'sort'])} {rng.randrange(1000):04}" for _ in range(20))
+    common = frozenset("the of and to a in is was it we not one had at because after so why another".split())
+    assert [quality.examine(x, common, [])[-1] for x in (outline, rows)] == ["list", "table"]
+    bare = (PROSE.lower().replace(".", "").replace(",", "") + " ") * 4
+    wrapped = textwrap.wrap(bare, 50)
+    indented = ["    " * (k % 3 > 0) + x for k, x in enumerate(wrapped)]
+    code = ["for k in range(9) if not total[k] > most and not done(k):", "    total[k] += f(x, k) * weight[k] - g(x, k) * weight[k + 1]", "    if total[k] > most and not done(k) and k < 9 and x > 0:", "        most, last = total[k] + offset, k if k > 0 else (x, 0)"] * 4
+    assert [quality.examine("\n".join(x), common, [])[-1] for x in (wrapped, indented, code, [PROSE[:60], "   " + PROSE[60:]] * 4)] == ["prose"] * 4
