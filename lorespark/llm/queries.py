@@ -58,6 +58,13 @@ def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair that occurs together, whatever its count; ``p5_scores`` are those of them beyond the thresholds of its SQL."""
+    bindings = cooccurrence.clean(table(spark, sf, "memory_entities"), "memory_id", "entity_id")
+    scored = cooccurrence.scores(cooccurrence.build(bindings, least=1, ratio=0))
+    return scored.select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def _values(spark: SparkSession, sf: str) -> DataFrame:
     bodies = table(spark, sf, "memories").select(F.lit("memories.body").alias("field"), "id", F.col("body").alias("text"), "source")
     origin = F.get_json_object("metadata", "$.origin")
@@ -100,7 +107,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p3_links, p4_found, p5_found, p5_scores, p6_found, p6_rates, p7_found, p8_ids, p9_containers, p10_statistics, p10_found)
+    f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p3_links, p4_found, p5_found, p5_scores, p5_pairs, p6_found, p6_rates, p7_found, p8_ids, p9_containers, p10_statistics, p10_found)
 }
 
 _P5 = """
@@ -111,6 +118,14 @@ SELECT p.a AS entity_a, p.b AS entity_b{more} FROM p JOIN n na ON na.e = p.a JOI
 WHERE n_ab * total >= 8 * na.n * nb.n
 """
 
+_P5_PAIRS = """
+WITH b AS (SELECT DISTINCT memory_id AS m, entity_id AS e FROM memory_entities WHERE memory_id IS NOT NULL AND entity_id IS NOT NULL),
+ t AS (SELECT count(DISTINCT m) AS total FROM b), n AS (SELECT e, count(*) AS n FROM b GROUP BY e),
+ p AS (SELECT x.e AS a, y.e AS b, count(*) AS n_ab FROM b x JOIN b y ON x.m = y.m AND x.e < y.e GROUP BY x.e, y.e)
+SELECT p.a AS entity_a, p.b AS entity_b, n_ab, na.n AS n_a, nb.n AS n_b, round(n_ab * total / (CAST(na.n AS DOUBLE) * nb.n), 6) AS lift
+FROM p JOIN n na ON na.e = p.a JOIN n nb ON nb.e = p.b CROSS JOIN t
+"""
+
 ORACLE: dict[str, str] = {
     "p1_found": """
 SELECT DISTINCT id, CASE WHEN list_max(list_transform(regexp_split_to_array(body, '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}。！？]+'), lambda x: octet_length(encode(x)))) > 800
@@ -125,4 +140,5 @@ SELECT a AS id_a, b AS id_b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b
 WHERE 10 * common >= 6 * (na.n + nb.n - common) AND ma.body <> mb.body""",
     "p5_found": _P5.format(more=""),
     "p5_scores": _P5.format(more=", n_ab, na.n AS n_a, nb.n AS n_b, round(n_ab * total / (CAST(na.n AS DOUBLE) * nb.n), 6) AS lift"),
+    "p5_pairs": _P5_PAIRS,
 }

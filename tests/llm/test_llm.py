@@ -184,6 +184,12 @@ def test_pairs_match_brute_force(spark, monkeypatch):
     assert cooccurrence.associated(cooccurrence.build(cooccurrence.clean(df.where("false"), "m", "e"))).count() == 0
 
 
+def test_rare_pairs_come_out(spark, tmp_path):
+    rows = [(1, 10), (1, 11), (1, 11), (2, 10), (3, 12), (3, None), (None, 12)]
+    spark.createDataFrame(rows, "memory_id bigint, entity_id bigint").write.parquet(f"{tmp_path}/memory_entities.parquet")
+    assert [tuple(r) for r in queries.QUERIES["p5_pairs"](spark, str(tmp_path)).collect()] == [(10, 11, 1, 2, 1, 1.5)]
+
+
 def test_merging_equals_building_anew(spark, as_rows):
     rng = random.Random(4)
     before = {(rng.randrange(12), rng.randrange(8)) for _ in range(50)}
