@@ -1,10 +1,14 @@
 """Items that appear together, kept as an incremental table of pair counts.
 
-State: counts per pair and per item and the number of baskets, each bucketed by a hash of its key and written
-to the shared folder. A change of bindings touches some baskets; only those emit signed pair and item deltas
-(new minus old), which are merged into the buckets, and the scores of the touched pairs are computed anew.
+State: counts per pair and per item, each with the bucket of its key, and the number of baskets, written to the
+shared folder. A change of bindings touches some baskets; only those emit signed pair and item deltas (new minus
+old), which are merged into the counts, and the scores of the touched pairs are computed anew: of all pairs, if
+the number of baskets changed, since every ratio to chance depends on it. ``load`` is the change from nothing.
 
-Skew. A pair is reported only if it is shared by ``least`` baskets or more. Every item marks with one bit each
+Only a table of every pair can take changes. ``build`` with thresholds gives the pairs beyond them and no more,
+so that a basket of any size is borne, and ``merge`` refuses such a table.
+
+Skew, with thresholds. A pair is reported only if it is shared by ``least`` baskets or more. Every item marks with one bit each
 the ``least - 1`` largest baskets it is in; these baskets emit no pairs, and their share in a pair's count is
 the number of common bits. Nothing is lost: a reported pair shares at least one other basket and is found
 there. Items in fewer than ``least`` baskets or in so many that no partner can reach ``ratio`` are left out of
@@ -31,13 +35,14 @@ BUCKETS = 64
 
 @dataclass
 class PairTable:
-    """bindings (basket, item); pairs (bucket, item_a, item_b, n); items (bucket, item, n, big); total baskets; big (basket, bit)."""
+    """bindings (basket, item); pairs (bucket, item_a, item_b, n); items (bucket, item, n, big); total baskets; big (basket, bit); whether it holds every pair."""
 
     bindings: DataFrame
     pairs: DataFrame
     items: DataFrame
     total: int
     big: DataFrame
+    full: bool
 
 
 def _bucket(*keys: str) -> Column:
@@ -77,7 +82,7 @@ def _useful(items: DataFrame, total: int, least: int, ratio: float) -> DataFrame
 
 
 def build(bindings: DataFrame, least: int = LEAST, ratio: float = RATIO) -> PairTable:
-    """The table over clean ``bindings``: the change from nothing."""
+    """The table over clean ``bindings``, counted at once; it can take changes with ``least=1, ratio=0`` only."""
     b = materialize(bindings, "bindings")
     sizes = b.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
     total = sizes.count()
@@ -90,7 +95,16 @@ def build(bindings: DataFrame, least: int = LEAST, ratio: float = RATIO) -> Pair
     light = b.join(F.broadcast(big.select("basket")), "basket", "left_anti").join(_useful(items, total, least, ratio), "item")
     counted = emit_pairs(light.select("basket", "item")).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
     pairs = materialize(counted.withColumn("bucket", _bucket("item_a", "item_b")), "pairs")
-    return PairTable(b, pairs, items, total, big)
+    return PairTable(b, pairs, items, total, big, least <= 1 and ratio <= 0)
+
+
+def load(bindings: DataFrame) -> PairTable:
+    """The table of every pair of clean ``bindings``, merged into an empty one, as any later change is."""
+    spark = bindings.sparkSession
+    basket, item = (bindings.schema[c].dataType.simpleString() for c in ("basket", "item"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    nothing = PairTable(empty(f"basket {basket}, item {item}"), empty(f"item_a {item}, item_b {item}, n bigint, bucket int"), empty(f"item {item}, n bigint, big int, bucket int"), 0, empty(f"basket {basket}, bit int"), True)
+    return merge(nothing, bindings.withColumn("sign", F.lit(1)))[0]
 
 
 def deltas(table: PairTable, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -98,6 +112,8 @@ def deltas(table: PairTable, changes: DataFrame) -> tuple[DataFrame, DataFrame,
 
     Only baskets named in the change are emitted, once as they were (-1) and once as they are (+1).
     """
+    if not table.full:
+        raise ValueError("a table with thresholds leaves out pairs and can't take changes; use load() or build(..., least=1, ratio=0)")
     net = changes.where(F.col("basket").isNotNull() & F.col("item").isNotNull()).groupBy("basket", "item").agg(F.signum(F.sum("sign")).cast("int").alias("sign"))
     present = table.bindings.withColumn("_here", F.lit(1))
     real = net.join(present, ["basket", "item"], "left").where(((F.col("sign") > 0) & F.col("_here").isNull()) | ((F.col("sign") < 0) & F.col("_here").isNotNull())).select("basket", "item", "sign")
@@ -115,15 +131,18 @@ def deltas(table: PairTable, changes: DataFrame) -> tuple[DataFrame, DataFrame,
 def merge(table: PairTable, changes: DataFrame) -> tuple[PairTable, DataFrame]:
     """The table after a change, and the scores of the pairs whose count or whose items' counts it touched.
 
-    For tables kept with ``build(..., least=1, ratio=0)``, which hold every pair: then no basket is big and no
-    item is left out, and the counts can be carried on. Equal to building anew from the changed bindings.
+    If the number of baskets changed, these are all pairs. For tables of ``load`` or ``build(..., least=1,
+    ratio=0)``, which hold every pair: then no basket is big and no item is left out, and the counts can be
+    carried on; others are refused. Equal to building anew from the changed bindings.
     """
     pair_deltas, item_deltas, after = deltas(table, changes)
     pair_deltas, item_deltas = materialize(pair_deltas, "pair-deltas"), materialize(item_deltas, "item-deltas")
     pairs = table.pairs.select("item_a", "item_b", "n").unionByName(pair_deltas.withColumnRenamed("d", "n")).groupBy("item_a", "item_b").agg(F.sum("n").alias("n")).where("n > 0")
     items = table.items.select("item", "n").unionByName(item_deltas.withColumnRenamed("d", "n")).groupBy("item").agg(F.sum("n").alias("n")).where("n > 0")
     total = after.select("basket").distinct().count()
-    new = PairTable(after, materialize(pairs.withColumn("bucket", _bucket("item_a", "item_b")), "pairs"), materialize(items.withColumn("big", F.lit(0)).withColumn("bucket", _bucket("item")), "items"), total, table.big)
+    new = PairTable(after, materialize(pairs.withColumn("bucket", _bucket("item_a", "item_b")), "pairs"), materialize(items.withColumn("big", F.lit(0)).withColumn("bucket", _bucket("item")), "items"), total, table.big, True)
+    if total != table.total:
+        return new, scores(new)
     by_item = item_deltas.select("item")
     touched = pair_deltas.select("item_a", "item_b").union(new.pairs.select("item_a", "item_b", F.col("item_a").alias("item")).join(by_item, "item", "left_semi").select("item_a", "item_b")).union(new.pairs.select("item_a", "item_b", F.col("item_b").alias("item")).join(by_item, "item", "left_semi").select("item_a", "item_b")).distinct()
     return new, scores(new).join(touched, ["item_a", "item_b"], "left_semi")

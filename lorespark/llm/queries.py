@@ -61,7 +61,7 @@ def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
 def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair that occurs together, whatever its count; ``p5_scores`` are those of them beyond the thresholds of its SQL."""
     bindings = cooccurrence.clean(table(spark, sf, "memory_entities"), "memory_id", "entity_id")
-    scored = cooccurrence.scores(cooccurrence.build(bindings, least=1, ratio=0))
+    scored = cooccurrence.scores(cooccurrence.load(bindings))
     return scored.select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 

@@ -203,6 +203,17 @@ def test_merging_equals_building_anew(spark, as_rows):
     assert set(as_rows(touched)) <= set(as_rows(cooccurrence.scores(anew)))
 
 
+def test_only_whole_tables_take_changes_and_all_ratios_follow(spark, as_rows):
+    clean = lambda b: cooccurrence.clean(spark.createDataFrame(b, "m bigint, e bigint"), "m", "e")
+    before = [(m, e) for m in range(5) for e in range(3)] + [(9, 7), (9, 8)]
+    change = spark.createDataFrame([(20, 50, 1)], "basket bigint, item bigint, sign int")
+    with pytest.raises(ValueError):
+        cooccurrence.merge(cooccurrence.build(clean(before)), change)
+    merged, touched = cooccurrence.merge(cooccurrence.load(clean(before)), change)
+    anew = as_rows(cooccurrence.scores(cooccurrence.build(clean([*before, (20, 50)]), least=1, ratio=0)))
+    assert as_rows(touched) == as_rows(cooccurrence.scores(merged)) == anew and len(anew) == 4
+
+
 # 6 truncation
 
 
