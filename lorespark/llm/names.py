@@ -13,6 +13,7 @@ a name without letters has none; ties in linkage are broken by id.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import unicodedata
@@ -30,7 +31,6 @@ from lorespark.runtime import materialize
 GRAM = 4
 COSINE = 0.2
 LINKAGE = 0.5
-DISTINCT_MOST = 3000
 NOTE = re.compile(r"\([^)]*\)|\[[^\]]*\]|\s+-\s+.*$|,\s*(?:ops|on call|ext|contractor)\s*$", re.I)
 PART = re.compile(r"[^\W_]+")
 #: Forms of address, legal forms that are left out at will, and articles.
@@ -159,38 +159,56 @@ def likeness(a: tuple[str, ...], b: tuple[str, ...], forms: Forms) -> float:
     return max(0.0, sum(scores) / len(scores) - 0.02 * len(rest))
 
 
+def _alike(distinct: list[tuple[str, ...]], forms: Forms) -> Iterator[tuple[int, int, float]]:
+    """``(i, j, likeness)``, i < j, of all names that agree; only those with an anchor or the same parts in common can."""
+    holds: dict[str, set[int]] = {}
+    same: dict[tuple[str, ...], list[int]] = {}
+    for i, name in enumerate(distinct):
+        same.setdefault(tuple(sorted(name)), []).append(i)
+        for p in name:
+            if len(p) >= 4:
+                holds.setdefault(p, set()).add(i)
+    near: dict[str, set[str]] = {p: {p} for p in holds}
+    for p, q in itertools.combinations(holds, 2):
+        if part_likeness(p, q, forms) >= 0.8:
+            near[p].add(q)
+            near[q].add(p)
+    for i, name in enumerate(distinct):
+        others = set(same[tuple(sorted(name))]).union(*(holds[q] for p in name if p in near for q in near[p]))
+        for j in sorted(others):
+            if j > i and (score := likeness(name, distinct[j], forms)) > 0:
+                yield i, j, score
+
+
 def average_linkage(names: list[tuple[str, ...]], forms: Forms, least: float = LINKAGE) -> list[int]:
     """Cluster number of each name; equal forms are clustered as one weighted item.
 
-    A set of more than ``DISTINCT_MOST`` different forms stays one cluster, so that no link is lost there.
+    Only sums of likeness that aren't 0 are kept, with a heap of the pairs of clusters that may be merged next.
     """
     distinct = sorted(set(names))
-    if len(distinct) > DISTINCT_MOST:
-        return [0] * len(names)
     weight = Counter(names)
-    n = len(distinct)
-    sim = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            sim[i, j] = sim[j, i] = likeness(distinct[i], distinct[j], forms)
-    clusters = {i: [i] for i in range(n)}
-    mass = np.array([weight[d] for d in distinct], float)
-    link = sim * mass[:, None] * mass[None, :]  # sums of likeness between clusters
-    np.fill_diagonal(link, -1)
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        mean = np.where(alive[:, None] & alive[None, :], link / (mass[:, None] * mass[None, :]), -1)
-        np.fill_diagonal(mean, -1)
-        best = int(np.argmax(mean))
-        i, j = divmod(best, n)
-        if mean[i, j] < least:
-            break
-        i, j = min(i, j), max(i, j)
+    mass = [weight[d] for d in distinct]
+    clusters = {i: [i] for i in range(len(distinct))}
+    link: list[dict[int, float]] = [{} for _ in distinct]  # sums of likeness between clusters
+    for i, j, score in _alike(distinct, forms):
+        link[i][j] = link[j][i] = score * mass[i] * mass[j]
+    mean = lambda i, j: link[i][j] / (mass[i] * mass[j])
+    heap = [(-m, i, j) for i, near in enumerate(link) for j in near if i < j and (m := mean(i, j)) >= least]
+    heapq.heapify(heap)
+    while heap:
+        best, i, j = heapq.heappop(heap)
+        if j not in link[i] or mean(i, j) != -best:  # merged or changed since
+            continue
         clusters[i] += clusters.pop(j)
-        link[i, :] += link[j, :]
-        link[:, i] += link[:, j]
         mass[i] += mass[j]
-        alive[j] = False
+        for k, total in link[j].items():
+            del link[k][j]
+            if k != i:
+                link[i][k] = link[k][i] = link[i].get(k, 0.0) + total
+        link[j] = {}
+        for k in link[i]:
+            if (m := mean(min(i, k), max(i, k))) >= least:
+                heapq.heappush(heap, (-m, min(i, k), max(i, k)))
     number = {distinct[k]: c for c, members in clusters.items() for k in members}
     return [number[x] for x in names]
 

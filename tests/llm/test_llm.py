@@ -268,6 +268,14 @@ def test_an_ambiguous_initial_ties_no_relatives():
     assert number[0] == number[3] != number[1]
 
 
+def test_linkage_at_any_size(monkeypatch):
+    monkeypatch.setattr(names, "DISTINCT_MOST", 2, raising=False)
+    forms = names.Forms([])
+    group = [names.parts(x, forms) for x in ("Robert Kvaneptav", "Rebecca Kvaneptav", "R Kvaneptav", "Robert Kvaneptva", "Rebecca Kvaneptav")]
+    number = names.average_linkage(group, forms)
+    assert number[0] == number[3] != number[1] == number[4]
+
+
 # 8 encoding
 
 
