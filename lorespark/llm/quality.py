@@ -137,7 +137,7 @@ def _gibberish(text: str, words: list[str], common: frozenset[str], share: float
             return True
         if share < 0.15 and len(latin) >= 3 and sum(bool(OPEN_SYLLABLES.match(w.lower())) for w in latin) > 0.85 * len(latin):
             return True  # syllables strung together
-        if len(latin) >= 40 and share < 0.02 and not any(w.lower() in common for w in latin[:20]):
+        if len(latin) >= 40 and share < 0.02:
             return True
     plain = Counter({c: k for c, k in seen.items() if c.isascii() and c.isalpha()})
     size = sum(plain.values())

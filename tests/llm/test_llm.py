@@ -374,3 +374,10 @@ def test_layout_alone_shows_lists_and_tables():
     indented = ["    " * (k % 3 > 0) + x for k, x in enumerate(wrapped)]
     code = ["for k in range(9) if not total[k] > most and not done(k):", "    total[k] += f(x, k) * weight[k] - g(x, k) * weight[k + 1]", "    if total[k] > most and not done(k) and k < 9 and x > 0:", "        most, last = total[k] + offset, k if k > 0 else (x, 0)"] * 4
     assert [quality.examine("\n".join(x), common, [])[-1] for x in (wrapped, indented, code, [PROSE[:60], "   " + PROSE[60:]] * 4)] == ["prose"] * 4
+
+
+def test_junk_behind_an_ordinary_word():
+    rng = random.Random(6)
+    struck = " ".join("".join(rng.choice("asdfghjkleriouwtn") for _ in range(rng.randrange(3, 9))) for _ in range(120))
+    common = frozenset("the of and to a in is was it we not one had at because after so why another".split())
+    assert [quality.examine(x, common, [])[-1] for x in (struck, "the " + struck, PROSE)] == ["junk", "junk", "prose"]
