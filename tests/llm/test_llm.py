@@ -2,8 +2,10 @@
 
 import base64
 import itertools
+import math
 import random
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -276,6 +278,45 @@ def test_linkage_at_any_size(monkeypatch):
     assert number[0] == number[3] != number[1] == number[4]
 
 
+def test_cosines_match_brute_force(spark):
+    rng = random.Random(11)
+    forms = names.Forms([])
+    people = [" ".join(sorted([rng.choice(["robert", "rebecca", "r", "clara"]), "".join(rng.choice("kvanept") for _ in range(7))])) for _ in range(60)]
+    people += [p[:-1].strip() for p in people[:20]]
+    vectors = {k: names.features(tuple(p.split(" ")), forms) for k, p in enumerate(people)}
+    df = spark.createDataFrame([("n", k, f) for k, v in vectors.items() for f in v], "namespace string, id bigint, feature string")
+    got = {(r["a"], r["b"]): r["cosine"] for r in names.cosine_pairs(df, 0.3).collect()}
+    count = Counter(f for v in vectors.values() for f in v)
+    length = {k: math.sqrt(sum(1 / count[f] for f in v)) for k, v in vectors.items()}
+    want = {(a, b): c for a, b in itertools.combinations(vectors, 2) if length[a] and length[b] and (c := sum(1 / count[f] for f in set(vectors[a]) & set(vectors[b])) / (length[a] * length[b])) >= 0.3}
+    assert got.keys() == want.keys() and got and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {(r["a"], r["b"]) for r in names.cosine_pairs(df, 0.3, most_partners=1).collect()} < got.keys()
+
+
+def test_rounds_over_the_cluster_link_as_one_task_does(spark):
+    rng = random.Random(12)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(220)}
+    edges = [(a, b, rng.choice([300_000, 500_000, 800_000, 800_000])) for a, b in sorted(pairs)]
+    mass = {k: rng.choice([1, 1, 2]) for k in range(60)}
+    df = spark.createDataFrame([(a, b, s, mass[a], mass[b]) for a, b, s in edges], "a bigint, b bigint, similarity bigint, mass_a bigint, mass_b bigint")
+    want = names.link(edges, mass)
+    assert {r["id"]: r["cluster"] for r in names.link_in_rounds(df).collect()} == want and len(set(want.values())) > 3
+
+
+def test_links_come_from_the_cosine_join(spark, monkeypatch):
+    """Without the pairs of the join nothing is linked but equal names, in large sets and small ones alike."""
+    listed = ["Johannes Fenprupel", "Johanes Fenprupel", "J. Fenprupel", "johannes_fenprupel", "Clara Velzankva", "Clara Velzankav"]
+    df = spark.createDataFrame([(k, "n", x) for k, x in enumerate(listed)], "id bigint, namespace string, name string")
+    pairs = lambda: {tuple(r) for r in names.name_pairs(names.linked_names(df, [])).collect()}
+    want = set(itertools.combinations(range(4), 2)) | {(4, 5)}
+    assert pairs() == want
+    monkeypatch.setattr(names, "LINKS_AT_ONCE", 0)
+    assert pairs() == want
+    joined = names.cosine_pairs
+    monkeypatch.setattr(names, "cosine_pairs", lambda v: joined(v).where("false"))
+    assert pairs() == {(0, 3)}
+
+
 # 8 encoding
 
 
