@@ -1,8 +1,9 @@
 """Texts that were cut off, found by self-joins on prefixes.
 
-Whole texts: all distinct texts are sorted over the cluster; a text that is a strict prefix of any other is
-then a prefix of its successor, so one pass over the sorted ranges finds every copy that lacks its end, without
-pairing anything. It is cut off if the longer copy goes on inside the same word or sentence.
+Whole texts: all distinct texts are sorted over the cluster; the extensions of a text follow it at once, so one
+pass that carries the texts still open finds every strict prefix of any longer copy, without pairing anything.
+What is open at the end of a range goes on into the next ones by a join on prefixes of its length. A text is cut
+off if a longer copy goes on inside the same word or sentence; of a text of a few characters, inside the word.
 
 Last fragments: what stands after the last sentence end of a text is joined by its fixed-length prefixes with
 the openings of all sentences of the corpus. If such an opening belongs, elsewhere, to sentences that come to
@@ -11,8 +12,10 @@ headline, a note in passing), the writer meant it to end there. Openings are cou
 or without a mark of omission, so that copies of a text bear no witness for or against one another. Only a text
 of a few characters counts once a record: such a note, `TODO` say, is written anew each time, not copied.
 
-Defined cases: null, empty and blank texts are never cut off; a mark of omission at the end is read as standing
-for the lost rest; repeated records give one row; texts are read whole.
+A text that ends inside a fenced block of code is cut off by its own form, without a join.
+
+Defined cases: null, empty and blank texts are never cut off; a mark of omission or a short remark in brackets at
+the end is read as standing for the lost rest; repeated records give one row; texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,9 +26,8 @@ from typing import Iterator
 
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.runtime import materialize, spread
@@ -34,7 +36,7 @@ from lorespark.runtime import materialize, spread
 PREFIXES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Other sentences an opening must have; fewer do against a fragment in small letters, as headlines and notes are.
 LEAST_SEEN, LEAST_SEEN_SMALL, LEAST_FINISHED = 3, 1, 0.6
-MARK = r"(?:…|\.{3,}|[\[(<{]\s*(?:…|\.{2,}|truncated|cut|cut off|more|snip|continued|abgeschnitten|cortado|truncado)\s*[\])>}])"
+MARK = r"(?:…|\.{3,}|[\[(<{]\s*(?:…|\.{2,}|[\p{L} ]{1,16})\s*[\])>}])"
 OMISSION = regex.compile(rf"\s*{MARK}\s*$", regex.I)
 #: Characters at the end of a text within which a mark of omission is taken off before copies are dropped.
 TAIL = 64
@@ -44,9 +46,8 @@ FINISHED = regex.compile(r"[.!?。！？]['\"”’»)\]】」』）*_]*$")
 SENTENCE_END = regex.compile(r"(?<=[.!?]['\"”’»)\]*_]?)\s+|(?<=[。！？][」』）]?)")
 ITEM = re.compile(r"\s*(?:[-*+•–—]{1,2}\s|\[[ xX]?\]|\(?\w{1,3}[.)]\s|#{1,6}\s|>|\|)")
 DIGITS = re.compile(r"\d+")
-SEEN_AT_ONCE = 500_000
-#: Characters of a text that decide its range, and texts sampled a range.
-RANGE_PREFIX, RANGE_SAMPLE = 512, 20
+#: Characters of the stretches of a text that decide its range, one after the other, and texts sampled a range.
+RANGE_STRETCHES, RANGE_SAMPLE = (512, 1536, 6144), 20
 
 
 def sentences(text: str) -> list[str]:
@@ -88,64 +89,57 @@ def _text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tu
             yield part, part.column(column).to_pylist()
 
 
-def openings(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
-    """``(prefix, finished, unfinished)``: how often sentences that open so are finished. Counted over distinct texts, short ones over records, combined before the shuffle."""
+def _bare(text: str) -> Column:
+    """The text without a mark of omission at its end."""
+    end = F.regexp_replace(F.right(F.col(text), F.lit(TAIL)), rf"(?i)\s*+(?:{MARK}\s*)?$", "")
+    return F.concat(F.left(F.col(text), F.length(text) - TAIL), end)
+
+
+def examine(texts: DataFrame) -> DataFrame:
+    """One pass over ``texts`` (h, times, text): ``(h, fragment, open_code)`` rows of the texts that don't come to a sentence end,
+    and ``(prefix, finished, unfinished)`` rows of how often sentences that open so are finished, summed a batch.
+
+    ``times`` is how often a text's openings count: once for copies, once a record for short texts, never for a
+    copy that differs from another in its mark of omission only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: Counter[str] = Counter()
         open_: Counter[str] = Counter()
+        empty = {"h": pa.int64(), "fragment": pa.string(), "open_code": pa.bool_(), "prefix": pa.string(), "finished": pa.int64(), "unfinished": pa.int64()}
+
+        def batch_of(**columns: list) -> pa.RecordBatch:
+            rows = max(map(len, columns.values()))
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in empty.items()], list(empty))
 
         def flush() -> pa.RecordBatch:
             keys = list(done.keys() | open_.keys())
-            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([done[k] for k in keys], pa.int64()), pa.array([open_[k] for k in keys], pa.int64())], ["prefix", "finished", "unfinished"])
+            batch = batch_of(prefix=keys, finished=[done[k] for k in keys], unfinished=[open_[k] for k in keys])
             done.clear()
             open_.clear()
             return batch
 
-        for _, texts in _text_batches(batches, 0):
-            for t in texts:
-                if t:
+        for part, texts_ in _text_batches(batches, 2):
+            hashes, found, code = [], [], []
+            for h, times, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_):
+                if (f := last_fragment(t)) is not None:
+                    hashes.append(h)
+                    found.append(folded(f))
+                    code.append(t.count("```") % 2 == 1)
+                if times:
                     for s in sentences(OMISSION.sub("", t)):
                         f = folded(s)
                         into = done if FINISHED.search(s) else open_
                         for p in PREFIXES:
                             if p > len(f):
                                 break
-                            into[f[:p]] += 1
+                            into[f[:p]] += times
+            yield batch_of(h=hashes, fragment=found, open_code=code)
             if len(done) + len(open_) > 200_000:
                 yield flush()
         yield flush()
 
-    end = F.regexp_replace(F.right(F.col(text), F.lit(TAIL)), rf"(?i)\s*+(?:{MARK}\s*)?$", "")
-    bare = F.concat(F.left(F.col(text), F.length(text) - TAIL), end)
-    own = [F.when(F.length(bare) < LEAST_COPIED, F.col(c)) for c in (field, key)]
-    # copies are dropped within each map task first, so a text that many rows hold crosses once a task
-    once = values.where(F.col(text).isNotNull()).groupBy(F.xxhash64(bare, *own).alias("h")).agg(F.first(text).alias("text"))
-    counted = once.select("text").mapInArrow(run, "prefix string, finished bigint, unfinished bigint")
-    return counted.groupBy("prefix").agg(F.sum("finished").alias("finished"), F.sum("unfinished").alias("unfinished"))
-
-
-def fragments(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
-    """``(field, key, text_hash, fragment, open_code)`` of the values that don't come to a sentence end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _text_batches(batches, 2):
-            rows, hashes, found, code = [], [], [], []
-            for i, t in enumerate(texts):
-                if t and (f := last_fragment(t)) is not None:
-                    rows.append(i)
-                    hashes.append(_hash(t))
-                    found.append(folded(f))
-                    code.append(t.count("```") % 2 == 1)
-            taken = part.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(hashes, pa.int64()), pa.array(found, pa.string()), pa.array(code, pa.bool_())], [field, key, "text_hash", "fragment", "open_code"])
-
-    kind = values.schema[key].dataType.simpleString()
-    return spread(values.select(field, key, text)).mapInArrow(run, f"`{field}` string, `{key}` {kind}, text_hash bigint, fragment string, open_code boolean")
-
-
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+    return spread(texts.select("h", "times", "text")).mapInArrow(run, "h bigint, fragment string, open_code boolean, prefix string, finished bigint, unfinished bigint")
 
 
 def unfinished_prefix(short: str, long: str) -> bool:
@@ -163,65 +157,71 @@ def unfinished_prefix(short: str, long: str) -> bool:
     return not FINISHED.search(bare) and long[len(bare) :].lstrip(" \t")[:1] not in ("", "\n", "\r", "(")
 
 
-def prefix_copies(values: DataFrame, text: str, least: int = LEAST_COPIED) -> DataFrame:
-    """``text_hash`` of every distinct text of ``least`` characters or more that a longer copy shows to be cut off.
+def cut_copy(short: str, long: str) -> bool:
+    """``long`` shows ``short`` to be cut off; a text of a few characters only by the rest of its last word."""
+    if len(short) < LEAST_COPIED and not (len(short) < len(long) and short[-1:].isalnum() and long[len(short)].isalnum()):
+        return False
+    return unfinished_prefix(short, long)
 
-    The texts are range-partitioned and sorted, so copies of one text spread over tasks by their order however
-    many they are; exact copies are dropped within each map task before. Only the first text of each range is
-    compared across ranges.
-    """
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part, texts in _text_batches(batches, 0):
-            keep = []
-            for i, t in enumerate(texts):
-                h = _hash(t)
-                if h not in seen:
-                    seen.add(h)
-                    keep.append(i)
-            if len(seen) > SEEN_AT_ONCE:  # bounded memory; copies that come through only cost time
-                seen.clear()
-            yield part.take(pa.array(keep, pa.int64()))
-
-    spark = values.sparkSession
-    only = values.select(F.col(text).alias("text")).where(F.length(text) >= least).mapInArrow(distinct, "text string")
+def prefix_copies(texts: DataFrame) -> DataFrame:
+    """``(h)`` of every text of ``texts`` (h, text), each once, that a longer copy shows to be cut off.
+
+    The texts are range-partitioned and sorted, so the copies of one text spread over tasks by their order however
+    many they are, and by what follows a long beginning they share.
+    """
+    spark = texts.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the ranges are drawn from a few bounded prefixes, which are what the driver gets; the order is of whole texts
-    ordered = only.withColumn("_head", F.substring("text", 1, RANGE_PREFIX)).repartitionByRange(parts, "_head").sortWithinPartitions("text").select("text")
+    # the ranges are drawn from bounded stretches of a few texts, which are what the driver gets; the order is of whole texts
+    starts = [1 + sum(RANGE_STRETCHES[:k]) for k in range(len(RANGE_STRETCHES))]
+    stretches = [F.substring("text", at, n) for at, n in zip(starts, RANGE_STRETCHES)]
+    ordered = texts.select("h", "text").repartitionByRange(parts, *stretches).sortWithinPartitions("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId()
-        first = last = None
-        for _, texts in _text_batches(batches, 0):
+        first = None
+        held: list[tuple[int, str]] = []  # texts that this and maybe later ones extend, not yet shown to be cut off
+        names = ["h", "part", "kind", "text"]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string()]
+        for part, texts_ in _text_batches(batches, 1):
             cut = []
-            for t in texts:
-                if first is None:
-                    first = t
-                if last is not None and unfinished_prefix(last, t):
-                    cut.append(_hash(last))
-                last = t
+            for h, t in zip(part.column(0).to_pylist(), texts_):
+                first = t if first is None else first
+                still = []
+                for h_, s in held:
+                    if t.startswith(s):
+                        (cut if cut_copy(s, t) else still).append((h_, s))
+                held = [*still, (h, t)]
             if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int64()), pa.nulls(len(cut), pa.int32()), pa.nulls(len(cut), pa.string()), pa.nulls(len(cut), pa.string())], ["text_hash", "part", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in cut], kinds[0]), *(pa.nulls(len(cut), k) if n != "kind" else pa.array(["cut"] * len(cut)) for n, k in zip(names[1:], kinds[1:]))], names)
         if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([at], pa.int32()), pa.array([first]), pa.array([last])], ["text_hash", "part", "first", "last"])
+            rows = [(None, at, "first", first), *((h, at, "open", s) for h, s in held)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     sampled = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
     before = spark.conf.get(sampled)
     spark.conf.set(sampled, str(RANGE_SAMPLE))
     try:
-        scanned = materialize(ordered.mapInArrow(scan, "text_hash bigint, part int, first string, last string"), "prefix-copies")
+        scanned = materialize(ordered.mapInArrow(scan, "h bigint, part int, kind string, text string"), "prefix-copies")
     finally:
         spark.conf.set(sampled, before)
-    edges = scanned.where(F.col("part").isNotNull())  # one row a range
+    cut = scanned.where("kind = 'cut'").select("h")
+    firsts = scanned.where("kind = 'first'").select("part", F.lead("text").over(Window.orderBy("part")).alias("next"))  # one row a range
+    onward = scanned.where("kind = 'open'").select("h", "part", "text").join(firsts, "part").where(F.col("next").startswith(F.col("text")))
+    onward = materialize(onward.select("h", "part", F.col("text").alias("short"), F.length("text").alias("length")), "open-at-range-ends")
+    lengths = [r["length"] for r in onward.select("length").distinct().collect()]  # of the texts open at a range's end only
+    if not lengths:
+        return cut
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_hash(a) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if b is not None and unfinished_prefix(a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["text_hash"])
+            found = [h for h, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()) if cut_copy(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
 
-    over = edges.select("last", F.lead("first").over(Window.orderBy("part")).alias("next")).mapInArrow(across, "text_hash bigint")
-    return scanned.where(F.col("part").isNull()).select("text_hash").union(over).distinct()
+    longer = texts.select("text", F.explode(F.array(*map(F.lit, lengths))).alias("length")).where(F.length("text") > F.col("length"))
+    key = F.xxhash64(F.expr("substring(text, 1, length)"))
+    met = longer.select("text", key.alias("key")).join(onward.select("h", "short", F.xxhash64("short").alias("key")), "key").select("h", "short", "text")
+    return cut.union(met.mapInArrow(across, "h bigint")).distinct()
 
 
 def truncated(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
@@ -230,31 +230,31 @@ def truncated(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
     ``values`` holds one row a record; ``field`` names the column the text came from, so that several tables are
     judged with one corpus.
     """
-    kind = materialize(fragments(values, field, key, text), "fragments").dropDuplicates([field, key])
-    seen = openings(values, field, key, text)
+    some = values.where(F.length(text) > 0)
+    bare = _bare(text)
+    records = some.select(field, key, F.xxhash64(text).alias("h"), F.xxhash64(bare).alias("bare_h"), (F.length(bare) < LEAST_COPIED).alias("short")).distinct()
+    records = materialize(records, "text-records")
+    # copies are combined before the shuffle, so a text that many rows hold crosses once a task
+    once = materialize(some.groupBy(F.xxhash64(text).alias("h")).agg(F.first(text).alias("text")), "texts")
+    # openings of a short text count once a record, of copies that differ in their mark of omission only once for all
+    often = records.where("short").groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    copies = records.where(~F.col("short")).select("h", "bare_h").distinct()
+    kept = copies.groupBy("bare_h").agg(F.min("h").alias("kept"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    never = copies.join(kept, "bare_h").where("h <> kept").select("h", F.lit(0).cast("bigint").alias("times"))
+    seen_texts = once.join(often.union(never), "h", "left").select("h", F.coalesce("times", F.lit(1)).alias("times"), "text")
+    examined = materialize(examine(seen_texts), "fragments")
+    kind = examined.where("h is not null").select("h", "fragment", "open_code")
+    seen = examined.where("prefix is not null").groupBy("prefix").agg(F.sum("finished").alias("finished"), F.sum("unfinished").alias("unfinished"))
     lengths = F.array(*(F.lit(p) for p in PREFIXES))
     small = F.col("fragment").rlike(r"^\p{Ll}")
     least = F.when(small, LEAST_SEEN_SMALL).otherwise(LEAST_SEEN)
-    probes = kind.where(~F.col("open_code")).select(field, key, least.alias("least"), F.explode(F.filter(F.transform(lengths, lambda p: F.when(p <= F.length("fragment"), F.substring("fragment", F.lit(1), p))), lambda x: x.isNotNull())).alias("prefix"))
+    probes = kind.where(~F.col("open_code")).select("h", least.alias("least"), F.explode(F.filter(F.transform(lengths, lambda p: F.when(p <= F.length("fragment"), F.substring("fragment", F.lit(1), p))), lambda x: x.isNotNull())).alias("prefix"))
     others = F.col("finished") + F.col("unfinished") - 1  # the fragment itself is one of the unfinished
-    judged = probes.join(seen, "prefix").where(others >= F.col("least")).groupBy(field, key).agg(F.max_by(F.col("finished") / others, F.length("prefix")).alias("share"))
-    by_fragment = judged.where(F.col("share") >= LEAST_FINISHED).select(field, key)
-    by_code = kind.where("open_code").select(field, key)
-    hashed = values.select(field, key, text).where(F.length(text) >= LEAST_COPIED)
-    copies = prefix_copies(values, text)
-    by_copy = _with_hash(hashed, field, key, text).join(copies, "text_hash").select(field, key)
-    return by_fragment.union(by_code).union(by_copy).distinct()
-
-
-def _with_hash(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
-    """``(field, key, text_hash)``: hashed by the function that hashes the sorted texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _text_batches(batches, 2):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_hash(t) for t in texts], pa.int64())], [field, key, "text_hash"])
-
-    kind = values.schema[key].dataType.simpleString()
-    return values.select(field, key, text).mapInArrow(run, f"`{field}` string, `{key}` {kind}, text_hash bigint")
+    judged = probes.join(seen, "prefix").where(others >= F.col("least")).groupBy("h").agg(F.max_by(F.col("finished") / others, F.length("prefix")).alias("share"))
+    by_fragment = judged.where(F.col("share") >= LEAST_FINISHED).select("h")
+    by_code = kind.where("open_code").select("h")
+    found = by_fragment.union(by_code).union(prefix_copies(once)).distinct()
+    return records.join(found, "h", "left_semi").select(field, key).distinct()
 
 
 def truncation_rates(values: DataFrame, cut: DataFrame, field: str, key: str, source: str) -> DataFrame:

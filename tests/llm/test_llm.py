@@ -246,12 +246,32 @@ def test_prefix_copies_over_any_ranges(spark):
     long = ["".join(rng.choice("abc ") for _ in range(60)) + "xyz end" for _ in range(30)]
     cut = [t[: rng.randrange(25, 58)] for t in long]
     texts = long + cut + long[:5]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = {r[0] for r in truncation.prefix_copies(df, "text").collect()}
-    want = {truncation._hash(s) for s in texts if any(truncation.unfinished_prefix(s, t) for t in texts)}
+    df = spark.createDataFrame(list(enumerate(sorted(set(texts)))), "h bigint, text string")
+    number = {r["text"]: r["h"] for r in df.collect()}
+    got = {r[0] for r in truncation.prefix_copies(df).collect()}
+    want = {number[s] for s in texts if any(truncation.unfinished_prefix(s, t) for t in texts)}
     assert got == want and got
 
 
+def test_any_of_several_longer_copies_shows_a_cut(spark):
+    """The next longer copy may end as the cut text does; one further on doesn't. Long shared heads spread over ranges."""
+    head = "x" * 3000
+    cut = ["the quick fox jumps ov", "stale li", head + "end of the wo"]
+    texts = [*cut, cut[0] + "\nnext line", cut[0] + "er the dog.", "stale list", "note", "note two", *(head + f"end of the words {k}." for k in range(200)), *(f"{cut[0]}\nline {k:03}" for k in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "h bigint, text string")
+    assert {r[0] for r in truncation.prefix_copies(df).collect()} == {0, 1, 2}
+
+
+def test_rows_come_from_the_prefix_joins(spark, monkeypatch):
+    full = ["The scan of part %d took four minutes and left nothing behind." % k for k in range(40)]
+    df = spark.createDataFrame([("b", k, t) for k, t in enumerate([*full, "The scan of part 7 took four minu"])], "field string, id bigint, text string")
+    assert [r["id"] for r in truncation.truncated(df, "field", "id", "text").collect()] == [40]
+    monkeypatch.setattr(truncation, "PREFIXES", (99,))
+    assert [r["id"] for r in truncation.truncated(df, "field", "id", "text").collect()] == [40]  # by the whole text alone
+    monkeypatch.setattr(truncation, "cut_copy", lambda a, b: False)
+    assert truncation.truncated(df, "field", "id", "text").count() == 0
+
+
 # 7 names
 
 
