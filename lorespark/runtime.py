@@ -19,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; made up only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="lorespark-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
@@ -34,9 +37,17 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
-        _delete(spark, path)
+def sweep() -> None:
+    """Delete all intermediate files written so far; results that were not collected or written yet can't be read after."""
+    while _written:
+        _delete(*_written.pop())
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder for files of this session."""
+    path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
@@ -46,9 +57,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     columnar and compressed and carry sizes for the optimizer.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
