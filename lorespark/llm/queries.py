@@ -45,8 +45,17 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return labels.variants(types.unionByName(relations), entries, known)
 
 
+LATEST_DAYS = 30
+
+
 def _pairs(spark: SparkSession, sf: str) -> cooccurrence.PairTable:
-    return cooccurrence.build(cooccurrence.clean(table(spark, sf, "memory_entities"), "memory_id", "entity_id"))
+    """The table of the bindings up to the last month, and the last month's merged into it as a change."""
+    rows = table(spark, sf, "memory_entities")
+    latest = rows.agg(F.max("created_at")).first()[0]
+    late = F.coalesce(F.col("created_at") > (latest or 0) - LATEST_DAYS * 86_400, F.lit(False))
+    loaded = cooccurrence.load(cooccurrence.clean(rows.where(~late), "memory_id", "entity_id"), cooccurrence.LEAST, cooccurrence.RATIO)
+    change = cooccurrence.clean(rows.where(late), "memory_id", "entity_id").withColumn("sign", F.lit(1))
+    return cooccurrence.merge(loaded, change)[0]
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -197,7 +197,7 @@ def test_merging_equals_building_anew(spark, as_rows):
     before = {(rng.randrange(12), rng.randrange(8)) for _ in range(50)}
     drop, add = set(rng.sample(sorted(before), 12)), {(rng.randrange(14), rng.randrange(9)) for _ in range(12)} - before
     clean = lambda b: cooccurrence.clean(spark.createDataFrame(sorted(b), "m bigint, e bigint"), "m", "e")
-    table = cooccurrence.build(clean(before), least=1, ratio=0)
+    table = cooccurrence.load(clean(before))
     changes = spark.createDataFrame([(m, e, -1) for m, e in drop] + [(m, e, 1) for m, e in add] + [(99, 99, -1), (None, 1, 1)], "basket bigint, item bigint, sign int")
     merged, touched = cooccurrence.merge(table, changes)
     anew = cooccurrence.build(clean((before - drop) | add), least=1, ratio=0)
@@ -205,6 +205,34 @@ def test_merging_equals_building_anew(spark, as_rows):
     assert set(as_rows(touched)) <= set(as_rows(cooccurrence.scores(anew)))
 
 
+def test_tables_with_thresholds_take_changes(spark, tmp_path):
+    """Held-out baskets grow, shrink and change places, items cross the bounds, and the kept state is taken up again."""
+    rng = random.Random(9)
+    now = {(m, 10 * (m % 6) + k) for m in range(90) for k in range(4)} | {(m, rng.randrange(80)) for m in range(90) for _ in range(3)} | {(500 + k, e) for k in range(3) for e in range(60)}
+    frame = lambda rows, schema="m bigint, e bigint": spark.createDataFrame(sorted(rows), schema)
+    table = cooccurrence.load(cooccurrence.clean(frame(now), "m", "e"), 3, 2.0, f"file://{tmp_path}/pairs")
+    for step in range(3):
+        gone = set(rng.sample(sorted(now), 40)) | {x for x in now if x[0] == 500 + step and x[1] > 5}
+        come = {(rng.randrange(95), rng.randrange(85)) for _ in range(40)} | {(600 + step, e) for e in range(20 * step, 20 * step + 50)} | {(m, 70) for m in range(40 * step)}
+        change = [(m, e, -1) for m, e in gone] + [(m, e, 1) for m, e in come - gone]
+        now = (now - gone) | (come - gone)
+        table = cooccurrence.open_table(spark, table.folder)
+        files = dict(table.pairs.folders)
+        table, _ = cooccurrence.merge(table, frame(change, "basket bigint, item bigint, sign int"))
+        assert {(r["item_a"], r["item_b"]) for r in cooccurrence.associated(table, 3, 2.0).collect()} == counted(now, 3, 2.0) != set()
+    assert len(table.big) == 2 and files.keys() == table.pairs.folders.keys()
+    small, _ = cooccurrence.merge(table, frame([(7000, 81, 1)], "basket bigint, item bigint, sign int"))
+    assert sum(small.bindings.folders[b] != f for b, f in table.bindings.folders.items()) <= 1  # other buckets stay
+
+
+def test_pairs_of_the_last_month_come_by_the_merge(spark, tmp_path, monkeypatch):
+    rows = [(m, e, 1_000_000_000 if m < 4 else 2_000_000_000) for m in range(6) for e in (1, 2)] + [(m, 9, 1) for m in range(100, 160)]
+    spark.createDataFrame(rows, "memory_id bigint, entity_id bigint, created_at bigint").write.parquet(f"{tmp_path}/memory_entities.parquet")
+    assert [tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+    monkeypatch.setattr(cooccurrence, "merge", lambda t, c: (t, None))
+    assert queries.p5_found(spark, str(tmp_path)).count() == 0
+
+
 def test_only_whole_tables_take_changes_and_all_ratios_follow(spark, as_rows):
     clean = lambda b: cooccurrence.clean(spark.createDataFrame(b, "m bigint, e bigint"), "m", "e")
     before = [(m, e) for m in range(5) for e in range(3)] + [(9, 7), (9, 8)]
