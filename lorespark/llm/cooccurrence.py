@@ -138,7 +138,7 @@ def build(bindings: DataFrame, least: int = LEAST, ratio: float = RATIO) -> Pair
     b = materialize(bindings, "bindings")
     sizes = b.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
     total = sizes.count()
-    big = [(r["basket"], k) for k, r in enumerate(sizes.orderBy(F.desc("size"), "basket").limit(least - 1).collect())]  # least - 1 rows
+    big = _largest(sizes, least)
     items = materialize(b.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "items")
     pairs = materialize(_emitted(b, big, items, total, least, ratio).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n")), "pairs")
     return PairTable(b, pairs, items, total, big, least, ratio)
@@ -151,18 +151,19 @@ def load(bindings: DataFrame, least: int = 1, ratio: float = 0.0, folder: str |
     """
     spark = bindings.sparkSession
     basket, item = (bindings.schema[c].dataType.simpleString() for c in ("basket", "item"))
-    n = min(BUCKETS_MOST, max(BUCKETS_LEAST, -(-bindings.count() // ROWS_A_BUCKET)))
+    b = materialize(bindings.select("basket", "item").distinct(), "bindings")
+    n = min(BUCKETS_MOST, max(BUCKETS_LEAST, -(-b.count() // ROWS_A_BUCKET)))
     empty = lambda schema, *key: Buckets(spark, schema, key, n, {})
     nothing = PairTable(
         empty(f"basket {basket}, item {item}", "basket"), empty(f"item_a {item}, item_b {item}, n bigint", "item_a", "item_b"), empty(f"item {item}, n bigint", "item"), 0, [], least, ratio, folder or scratch_folder(spark, "pair-table")
     )
-    return _changed(nothing, bindings.withColumn("sign", F.lit(1)))[0]
+    return _loaded(nothing, b)
 
 
 def open_table(spark: SparkSession, folder: str) -> PairTable:
     """The latest version kept in a folder."""
-    name, files = _hadoop(spark, f"{folder}/version-*/_SUCCESS")
-    found = [int(f.getPath().getParent().getName().split("-")[1]) for f in files.globStatus(name) or []]
+    name, files = _hadoop(spark, f"{folder}/version-*")
+    found = [int(f.getPath().getName().split("-")[1]) for f in files.globStatus(name) or []]
     if not found:
         raise FileNotFoundError(f"no pair table in {folder}")
     kept = json.loads(spark.read.text(f"{folder}/version-{max(found)}", wholetext=True).first()[0])
@@ -171,14 +172,39 @@ def open_table(spark: SparkSession, folder: str) -> PairTable:
 
 
 def _keep(table: PairTable) -> PairTable:
-    """Write the list of the buckets in force; a version counts once that is complete."""
+    """Write the list of the buckets in force; a version counts once it bears its name."""
     parts = {c: {"schema": p.schema, "key": p.key, "n": p.n, "folders": p.folders} for c, p in (("bindings", table.bindings), ("pairs", table.pairs), ("items", table.items))}
     text = json.dumps({"parts": parts, "total": table.total, "big": table.big, "least": table.least, "ratio": table.ratio})
-    spark = table.pairs.spark
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{table.folder}/version-{table.version}")
+    target, files = _hadoop(table.pairs.spark, f"{table.folder}/version-{table.version}")
+    staged, _ = _hadoop(table.pairs.spark, f"{table.folder}/writing-{table.version}")
+    out = files.create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.rename(staged, target)
     return table
 
 
+def _loaded(empty: PairTable, bindings: DataFrame) -> PairTable:
+    """The change from nothing: all deltas are positive, every bucket is written, and nothing is read back."""
+    rows = f"{empty.folder}/rows-1"
+    every = list(range(empty.pairs.n))
+    count = F.count(F.lit(1)).alias("n")
+    items = empty.items.replaced(bindings.groupBy("item").agg(count), every, f"{rows}/items")
+    sizes = materialize(bindings.groupBy("basket").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    total = sizes.count()
+    big = _largest(sizes, empty.least)
+    pairs = _emitted(bindings, big, items.read(), total, empty.least, empty.ratio).groupBy("item_a", "item_b").agg(count)
+    return _keep(replace(empty, bindings=empty.bindings.replaced(bindings, every, f"{rows}/bindings"), pairs=empty.pairs.replaced(pairs, every, f"{rows}/pairs"), items=items, total=total, big=big, version=1))
+
+
+def _largest(sizes: DataFrame, least: int, held: dict | None = None) -> list[tuple]:
+    """``(basket, bit)`` of the ``least - 1`` largest baskets; those held out before keep their bit."""
+    top = [r["basket"] for r in sizes.orderBy(F.desc("size"), "basket").limit(least - 1).collect()] if least > 1 else []
+    kept = {b: k for b, k in (held or {}).items() if b in top}
+    free = iter([k for k in range(least - 1) if k not in kept.values()])
+    return [(b, kept[b] if b in kept else next(free)) for b in top]
+
+
 def _marks(bindings: Buckets, big: list[tuple]) -> DataFrame:
     """``(item, big)``: a bit for each basket held out that the item is in; only their buckets are read."""
     spark = bindings.spark
@@ -216,19 +242,15 @@ def _changed(table: PairTable, changes: DataFrame) -> tuple[PairTable, DataFrame
 
     # of the baskets held out and those of the change the largest are held out from now on, least - 1 at most
     held = {b: k for b, k in table.big}
-    if table.least > 1:
-        rows = table.pairs.spark.createDataFrame([(b,) for b in held], before.select("basket").schema)
-        old_sizes = bindings.read(bindings.touched_by(rows) if held else []).join(F.broadcast(rows), "basket", "left_semi").groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-        top = [r["basket"] for r in sizes_after.union(old_sizes).distinct().orderBy(F.desc("size"), "basket").limit(table.least - 1).collect()]
-    else:
-        top = []
-    free = [k for k in range(table.least - 1) if k not in {held[b] for b in top if b in held}]
-    big = [(b, held[b] if b in held else free.pop(0)) for b in top]
+    rows = table.pairs.spark.createDataFrame([(b,) for b in held], before.select("basket").schema)
+    old_sizes = bindings.read(bindings.touched_by(rows) if held else []).join(F.broadcast(rows), "basket", "left_semi").groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
+    big = _largest(sizes_after.union(old_sizes).distinct(), table.least, held)
+    top = [b for b, _ in big]
     moved = [b for b in {*held, *top} if not (b in held and b in top)]
 
     spark = table.pairs.spark
     touched = baskets.union(spark.createDataFrame([(b,) for b in moved], baskets.schema)) if moved else baskets
-    if (table.least > 1 or table.ratio > 0) and table.total:
+    if table.least > 1 or table.ratio > 0:
         was = _useful(table.items.read(), table.total, table.least, table.ratio).withColumn("was", F.lit(True))
         now = _useful(items.read(), total, table.least, table.ratio).withColumn("now", F.lit(True))
         flips = was.join(now, "item", "full_outer").where(F.col("was").isNull() | F.col("now").isNull()).select("item")
@@ -237,8 +259,7 @@ def _changed(table: PairTable, changes: DataFrame) -> tuple[PairTable, DataFrame
     touched = materialize(touched.distinct(), "touched-baskets")
     old = _emitted(table.bindings.read().join(touched, "basket", "left_semi"), table.big, table.items.read(), table.total, table.least, table.ratio).withColumn("d", F.lit(-1))
     new = _emitted(bindings.read().join(touched, "basket", "left_semi"), big, items.read(), total, table.least, table.ratio).withColumn("d", F.lit(1))
-    emitted = old.unionByName(new) if table.total else new
-    pair_deltas = materialize(emitted.groupBy("item_a", "item_b").agg(F.sum("d").alias("d")).where("d <> 0"), "pair-deltas")
+    pair_deltas = materialize(old.unionByName(new).groupBy("item_a", "item_b").agg(F.sum("d").alias("d")).where("d <> 0"), "pair-deltas")
     touched_pairs = table.pairs.touched_by(pair_deltas)
     pairs = table.pairs.replaced(_summed(table.pairs.read(touched_pairs), pair_deltas, "item_a", "item_b"), touched_pairs, f"{folder}/pairs")
     return _keep(replace(table, bindings=bindings, pairs=pairs, items=items, total=total, big=big, version=table.version + 1)), pair_deltas, item_deltas
