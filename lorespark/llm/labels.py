@@ -2,10 +2,11 @@
 
 The metric is the unrestricted Damerau-Levenshtein distance (insertion, deletion, substitution, transposition
 of neighbours), which obeys the triangle inequality; the tree prunes by it and returns every entry within the
-threshold. The entries are the labels and their aliases, a reference list that doesn't grow with the data; it
-is read on the driver only up to ``ENTRIES_MOST`` entries, and beyond that it is cut into shards, each with a
-tree of its own, whose winners are merged per value. Only the distinct typed values are looked up, after a
-combined aggregation, so a value with a third of all rows costs one lookup.
+threshold. The entries are the labels and their aliases, a reference list that doesn't grow with the data; one of
+up to ``ENTRIES_MOST`` entries goes to every task whole, a longer one is cut into shards, each with a tree of its
+own. A tree gives its nearest entries with all their labels, and only the merge over the shards decides between
+labels, so the number of shards changes no result. Only the distinct typed values are looked up, after a combined
+aggregation, so a value with a third of all rows costs one lookup.
 
 Defined cases: a null value is no record of the result; an empty or blank value means no label; a value equal
 to a label is not in the result of ``variants``; ties between labels at the least distance go to none of them
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ENTRIES_MOST = 50_000
+ENTRIES_MOST = 50_000  # entries of one tree
+VALUES_MOST = 100_000  # values that meet a shard in one task
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 OTHER = re.compile(r"[^\w]+|_+")
 
@@ -96,21 +98,26 @@ def allowed(length: int) -> int:
     return 0 if length < 3 else 1 if length < 6 else 2
 
 
-def nearest(tree: BKTree, value: str) -> tuple[int, str] | None:
-    """(distance, label) of the nearest entry within what the shorter of the two allows; ties of labels give none."""
+def candidates(tree: BKTree, value: str) -> list[tuple[int, str, bool]]:
+    """(distance, label, close) of the nearest entries within what the shorter of the two allows.
+
+    ``close`` tells that the entry has the same letters in another order, or the same first letter: the likelier slip.
+    """
     text = folded(value)
     if not text:
-        return None
+        return []
     found = [(d, e) for d, e in tree.within(text, 2 if len(text) >= 5 else allowed(len(text))) if d <= max(allowed(len(text)), allowed(len(e)))]
-    if not found:
-        return None
-    least = min(d for d, _ in found)
-    labels = {label for d, e in found if d == least for label in tree.labels[e]}
-    if len(labels) > 1:
-        # the same letters in another order, or the same first letter, is the likelier slip
-        close = {label for d, e in found if d == least and (sorted(e) == sorted(text) or e[:1] == text[:1]) for label in tree.labels[e]}
-        labels = close if len(close) == 1 else labels
-    return (least, labels.pop()) if len(labels) == 1 else None
+    least = min((d for d, _ in found), default=0)
+    return [(d, label, sorted(e) == sorted(text) or e[:1] == text[:1]) for d, e in found if d == least for label in tree.labels[e]]
+
+
+def nearest(tree: BKTree, value: str) -> tuple[int, str] | None:
+    """(distance, label) of the nearest entry; of several labels the only close one, else none."""
+    found = candidates(tree, value)
+    for labels in ({label for _, label, _ in found}, {label for _, label, close in found if close}):
+        if len(labels) == 1:
+            return found[0][0], labels.pop()
+    return None
 
 
 def typed_labels(values: DataFrame, entries: DataFrame) -> DataFrame:
@@ -145,29 +152,33 @@ def _look_up(distinct: DataFrame, rows: list[tuple[str, str, str]]) -> DataFrame
     return distinct.mapInArrow(run, "vocabulary string, value string, label string")
 
 
-def _look_up_sharded(distinct: DataFrame, entries: DataFrame, shards: int = 64) -> DataFrame:
-    """Each shard of the entries has a tree; every value visits all shards, and the nearest winner is merged."""
-    shard = F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")
-    left = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = entries.withColumn("shard", shard)
+def _look_up_sharded(distinct: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each shard of the entries has a tree; every value visits all shards, in blocks, so that neither fills a task.
 
-    def run(key, left_frames, right_frames):  # noqa: ANN001 - signature of the cogroup
+    A shard gives the nearest of its entries; over all shards the labels at the least distance are compared by
+    their first and last in order, and so the close ones: equal means only one.
+    """
+    shards = -(-entries.count() // ENTRIES_MOST)
+    blocks = max(1, -(-distinct.count() // VALUES_MOST))
+    number = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = distinct.withColumn("block", number(blocks, "vocabulary", "value")).withColumn("shard", each(shards))
+    right = entries.withColumn("shard", number(shards, "text")).withColumn("block", each(blocks))
+
+    def run(values, known):  # noqa: ANN001, ANN202 - one block of values and one shard of entries
         import pandas as pd
 
-        lists = [f for f in right_frames]
-        known = pd.concat(lists) if lists else pd.DataFrame(columns=["vocabulary", "text", "label"])
         trees = _trees(list(zip(known["vocabulary"], known["text"], known["label"])))
-        for frame in left_frames:
-            got = [nearest(trees[v], x) if v in trees else None for v, x in zip(frame["vocabulary"], frame["value"])]
-            yield pd.DataFrame({"vocabulary": frame["vocabulary"], "value": frame["value"], "d": [g[0] if g else None for g in got], "label": [g[1] if g else None for g in got]}).astype({"d": "Int64"})
-
-    def whole(key, a, b):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.concat(run(key, [a], [b]))
-
-    won = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(whole, "vocabulary string, value string, d bigint, label string")
-    return won.groupBy("vocabulary", "value").agg(F.min_by("label", F.col("d")).alias("label"))
+        found = [(v, x, d, label, label if close else None) for v, x in zip(values["vocabulary"], values["value"]) if v in trees for d, label, close in candidates(trees[v], x)]
+        return pd.DataFrame(found, columns=["vocabulary", "value", "d", "label", "close"])
+
+    met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(run, "vocabulary string, value string, d bigint, label string, close string")
+    # of each value and distance a bounded row, then the least distance
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("label", "close")]
+    by_distance = met.groupBy("vocabulary", "value", "d").agg(*ends)
+    best = by_distance.groupBy("vocabulary", "value").agg(F.min_by(F.struct("min_label", "max_label", "min_close", "max_close"), "d").alias("b"))
+    one = F.when(F.col("b.min_label") == F.col("b.max_label"), F.col("b.min_label")).when(F.col("b.min_close") == F.col("b.max_close"), F.col("b.min_close"))
+    return distinct.join(best, ["vocabulary", "value"], "left").select("vocabulary", "value", one.alias("label"))
 
 
 def variants(records: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
