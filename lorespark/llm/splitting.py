@@ -3,8 +3,9 @@
 Balanced targets: from the size, the limit and the overlap follows the minimum number of pieces; targets are
 placed at equal distances and each is snapped to the strongest boundary near it (paragraph, line, sentence end,
 clause, white space); if a piece can't be kept under the limit, a piece is added and the targets are placed
-anew. Only where a stretch without any boundary exceeds the limit is a cut forced, and then between two
-characters. All sizes are bytes of UTF-8.
+anew. Where a long stretch leaves no boundary within reach, the overlap before it is shortened, to nothing if need
+be; only a stretch over the limit is cut between two characters, and only its record is called forced. All sizes
+are bytes of UTF-8.
 
 Defined cases: a null body gives no piece and is never oversized; a body of at most the limit is one piece; a
 body of any length is cut whole; repeated rows of the same id give one set of pieces.
@@ -32,6 +33,8 @@ BOUNDARIES = [
     (2, regex.compile(r"[,;:]\s+")),
     (1, regex.compile(r"\s+|[" + SENTENCE_MARKS + "]")),
 ]
+#: Both sides of each of these end a stretch; the near side is a place to cut only where nothing better is in reach.
+SEPARATOR = regex.compile(r"[\s" + SENTENCE_MARKS + "]")
 
 
 def boundaries(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +43,9 @@ def boundaries(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for strength, pattern in reversed(BOUNDARIES):
         for m in pattern.finditer(text):
             best[int(starts[m.end()])] = strength
+    for m in SEPARATOR.finditer(text):
+        for at in m.span():
+            best.setdefault(int(starts[at]), 0)
     best.pop(0, None)
     best.pop(int(starts[-1]), None)
     places = np.array(sorted(best), np.int64)
@@ -81,6 +87,8 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tup
         if a < b:
             score = strength[a:b] * (limit * 0.06) - np.abs(places[a:b] - target)
             return int(places[a + int(np.argmax(score))]), False
+        if high == size:
+            return size, False
         at = int(starts[np.searchsorted(starts, min(high, max(target, low + 1)), "right") - 1])
         return (at if at > low else int(starts[np.searchsorted(starts, low, "right")])), True
 
@@ -92,6 +100,14 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tup
             return int(places[a + int(np.argmin(np.abs(places[a:b] - want)))])
         return int(starts[np.searchsorted(starts, max(want, floor), "left")])
 
+    def reach(begin: int, end: int) -> int:
+        """The same begin, or the earliest from which the piece reaches a boundary beyond ``end``."""
+        k = int(np.searchsorted(places, end, "right"))
+        further = int(places[k]) if k < len(places) else size
+        if further <= begin + limit or further > end + limit:
+            return begin
+        return int(starts[np.searchsorted(starts, further - limit, "left")])
+
     n = max(2, -(-(size - overlap) // (limit - overlap)))
     while True:
         pieces, begin, end, bad = [], 0, 0, False
@@ -101,8 +117,11 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tup
                 bad = size - begin > limit
                 pieces.append((begin, size, False))
                 break
+            begin = reach(begin, end)
             step = (size - end) / left
             low, high = max(end, begin + overlap), min(begin + limit, size)
+            if np.searchsorted(places, low, "right") == np.searchsorted(places, high, "right"):
+                low = end  # nothing but boundaries close behind the last cut
             at, forced = snap(low, high, int(end + step))
             pieces.append((begin, at, forced))
             end, begin = at, back(at, begin + 1)
@@ -116,8 +135,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tup
 def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """``(key, piece, begin, end, cut, text)`` of each row over the limit, one row a piece; begin and end in bytes.
 
-    ``cut`` is of the whole record: 'forced' if some stretch of it has no boundary within the limit, else
-    'natural'. A map over the scan; rows that fit are dropped in the JVM before Python sees them.
+    ``cut`` is of the whole record: 'forced' if a piece of it ends at no boundary, else 'natural'. A map over the scan; rows that fit are dropped in the JVM before Python sees them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +145,7 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
                 out: list[list] = [[] for _ in range(6)]
                 for k, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     pieces, starts = cut(body, limit, overlap)
-                    kind = "forced" if longest_stretch(body, starts) > limit else "natural"
+                    kind = "forced" if any(forced for _, _, forced in pieces) else "natural"
                     for i, (begin, end, _) in enumerate(pieces):
                         a, b = np.searchsorted(starts, [begin, end])
                         for column, value in zip(out, (k, i, begin, end, kind, body[a:b])):
