@@ -8,7 +8,8 @@ large nodes branch on. Several independent trees reach the target recall; the pa
 verified on the exact sets.
 
 Texts of equal words are one class with one representative, so copies - however many - enter the trees once;
-nodes too large for one task are branched again before any task gathers them.
+nodes too large for one task are branched again before any task gathers them, and one that no branching makes
+small - thousands of texts alike in nearly every run - is compared in blocks, each pair of blocks in a task.
 
 Defined cases: null texts and texts with fewer than ``least_words`` words have no partner; texts equal byte for
 byte are no pair; repeated records are one record; texts are read whole.
@@ -204,6 +205,18 @@ def compare_nodes(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, similar
         yield part()
 
 
+def in_blocks(members: DataFrame, block: int | None = None) -> DataFrame:
+    """``(node, class, tokens)``: each node cut into blocks, and each pair of its blocks a node of its own.
+
+    Two members meet in exactly one of the new nodes if their blocks differ, and in one for each other block if not.
+    """
+    size = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit((block or NODE_MOST) // 2)).cast("int").alias("blocks"))
+    placed = members.join(size, "node").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = placed.select("node", "class", "tokens", "own", other).where("own <> other or blocks = 1")
+    return pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "class", "tokens")
+
+
 def candidate_pairs(classes: DataFrame, similarity: float, looks: float) -> DataFrame:
     """``(class_a, class_b)``, class_a < class_b: pairs of classes that met in a leaf and look alike.
 
@@ -232,6 +245,9 @@ def candidate_pairs(classes: DataFrame, similarity: float, looks: float) -> Data
 
         level = materialize(inside.select("node", "class", "tokens").mapInArrow(hand_down, "node bigint, class bigint, tokens binary"), "nodes")
         large = materialize(level.groupBy("node").count().where(F.col("count") > NODE_MOST).select("node"), "large-nodes")
+    else:
+        done.append(level.join(large, "node", "left_anti"))
+        level = in_blocks(level.join(large, "node", "left_semi"))
     done.append(level)
     spread = done[0]
     for more in done[1:]:
@@ -270,31 +286,46 @@ def candidate_pairs(classes: DataFrame, similarity: float, looks: float) -> Data
     return met.distinct()
 
 
+PAIRS_A_HUB = 2_000  # pairs of one text in one group
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``(class_a, class_b, similarity)`` whose exact sets are alike. ``texts``: (class, text)."""
+    """The pairs ``(class_a, class_b, similarity)`` whose exact sets are alike. ``texts``: (class, text).
+
+    Each pair is led by its end of more partners, the hub. A hub's text goes once to each group of its pairs, and
+    is made a set once there; only the other end's text travels with each pair.
+    """
+    degree = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    a, b = degree.select(F.col("class").alias("class_a"), F.col("n").alias("n_a")), degree.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"))
+    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
+    either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    groups = F.ceil(F.greatest("n_a", "n_b") / F.lit(PAIRS_A_HUB)).cast("int")
+    led = pairs.join(a, "class_a").join(b, "class_b").select(either("class_a", "class_b").alias("hub"), either("class_b", "class_a").alias("class"), groups.alias("groups"))
+    led = materialize(led.withColumn("group", F.pmod(F.xxhash64("class"), F.col("groups")).cast("int")).select("hub", "group", "class"), "led-pairs")
+    hubs = led.select("hub", "group").distinct().join(texts.withColumnRenamed("class", "hub"), "hub").select("hub", "group", F.lit(None).cast("bigint").alias("class"), "text")
+    others = led.join(texts, "class").select("hub", "group", "class", "text")
+    parts = max(2, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = hubs.unionByName(others).repartition(parts, "hub", "group").sortWithinPartitions("hub", "group", F.asc_nulls_first("class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets: dict[str, np.ndarray] = {}
-                keep, value = [], []
-                for i, (x, y) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
-                    for t in (x, y):
-                        if t not in sets:
-                            sets[t] = runs(words(t), width)
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    any_ = len(sets[x]) + len(sets[y]) - both
+                out: list[tuple[int, int, float]] = []
+                for hub, cls, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    made = runs(words(text), width)
+                    if cls is None:
+                        own = made
+                        continue
+                    both = len(np.intersect1d(own, made, assume_unique=True))
+                    any_ = len(own) + len(made) - both
                     if any_ and both >= similarity * any_ - 1e-9:
-                        keep.append(i)
-                        value.append(both / any_)
-                rows = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(value, pa.float64())], ["class_a", "class_b", "similarity"])
+                        out.append((min(hub, cls), max(hub, cls), both / any_))
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["class_a", "class_b", "similarity"])
 
-    a = texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "text_a", "text_b")
-    return both.mapInArrow(run, "class_a bigint, class_b bigint, similarity double")
+    return rows.mapInArrow(run, "class_a bigint, class_b bigint, similarity double")
 
 
 class NearDuplicates:
@@ -302,7 +333,8 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, key: str, text: str, width: int = 5, similarity: float = 0.8, least_words: int = 1):
         self.key = key
-        source = df.select(F.col(key).alias(key), F.col(text).alias("text")).where(F.col(text).isNotNull())
+        self.records = df.select(F.col(key).alias(key), F.col(text).alias("text"))
+        source = self.records.where(F.col("text").isNotNull())
         rows = materialize(signed(source, key, "text", width, least_words), "signatures")
         #: (class, roots, tokens): the least key of each class stands for it
         classes = rows.groupBy("words_hash").agg(F.min(key).alias("class"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
@@ -319,32 +351,40 @@ class NearDuplicates:
     def record_pairs(self) -> DataFrame:
         """``(id_a, id_b)``, id_a < id_b: all pairs of records that are alike and not equal byte for byte."""
         m = self.members
+        # first the different texts of equal words are paired, then their records; equal texts never meet
         distinct = m.select("class", "text_hash").distinct()
-        several = distinct.groupBy("class").count().where("count > 1").select("class")
-        within = m.join(several, "class", "left_semi")
-        a, b = within.select("class", F.col(self.key).alias("id_a"), F.col("text_hash").alias("_a")), within.select("class", F.col(self.key).alias("id_b"), F.col("text_hash").alias("_b"))
-        equal_words = a.join(b, "class").where((F.col("id_a") < F.col("id_b")) & (F.col("_a") != F.col("_b"))).select("id_a", "id_b")
+        unequal = distinct.join(distinct.select("class", F.col("text_hash").alias("_b")), "class").where(F.col("text_hash") < F.col("_b")).select(F.col("text_hash").alias("_a"), "_b")
+        of = lambda end, name: m.select(F.col("text_hash").alias(end), F.col(self.key).alias(name))
+        paired = unequal.join(of("_a", "_x"), "_a").join(of("_b", "_y"), "_b")
+        equal_words = paired.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
         left = self.alike.join(m.select(F.col("class").alias("class_a"), F.col(self.key).alias("_x")), "class_a")
         both = left.join(m.select(F.col("class").alias("class_b"), F.col(self.key).alias("_y")), "class_b")
         return equal_words.union(both.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")))
 
+    def _classed(self) -> DataFrame:
+        """``(key, class)`` of every record: of short and null texts the least key of equal texts, of null each its own."""
+        text = F.when(F.col("text").isNull(), F.col(self.key).cast("bigint")).otherwise(F.xxhash64("text"))
+        records = self.records.select(self.key, text.alias("_h"), F.col("text").isNull().alias("_null")).dropDuplicates([self.key])
+        long = self.members.select(self.key, "class")
+        rest = records.join(long, self.key, "left_anti")
+        own = rest.groupBy("_h", "_null").agg(F.min(self.key).alias("class"))
+        return long.unionByName(rest.join(own, ["_h", "_null"]).select(self.key, "class"))
+
     def links(self) -> DataFrame:
-        """``(key, class, n_links)``: one row a record: its class of equal words and the classes linked to it."""
+        """``(key, class, n_links)``: one row a record, of short and null texts too: its class and the classes linked to it."""
         ends = self.alike.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-        return self.members.join(ends, "class", "left").select(self.key, "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return self._classed().join(ends, "class", "left").select(self.key, "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
-    def groups(self, rounds: int = 30) -> DataFrame:
-        """``(key, group)``: connected components over the links by alternating large-star and small-star steps."""
+    def groups(self) -> DataFrame:
+        """``(key, group)``, one row a record: connected components over the links by neighbours' minima and pointer jumps, until nothing moves."""
         edges = materialize(self.alike.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).union(self.alike.select("class_b", "class_a")), "edges")
-        label = self.members.select(F.col("class").alias("u")).distinct().withColumn("group", F.col("u"))
-        state = materialize(label, "labels")
-        for _ in range(rounds):
+        state = materialize(edges.select("u").distinct().withColumn("group", F.col("u")), "labels")
+        while True:
             low = edges.join(state.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("group").alias("near"))
-            step = state.join(low, "u", "left").select("u", F.least("group", F.coalesce("near", "group")).alias("group"), (F.coalesce("near", "group") < F.col("group")).alias("moved"))
-            jumped = step.alias("s").join(step.select(F.col("u").alias("group"), F.col("group").alias("far")).alias("t"), "group", "left")
-            new = materialize(jumped.select("u", F.least("group", F.coalesce("far", "group")).alias("group"), F.col("moved")), "labels")
-            moved = not new.where("moved").isEmpty()
+            step = state.join(low, "u").select("u", F.least("group", "near").alias("group"), (F.col("near") < F.col("group")).alias("moved"))
+            jumped = step.join(step.select(F.col("u").alias("group"), F.col("group").alias("far")), "group")
+            new = materialize(jumped.select("u", F.least("group", "far").alias("group"), "moved"), "labels")
             state = new.select("u", "group")
-            if not moved:
+            if new.where("moved").isEmpty():
                 break
-        return self.members.join(state.withColumnRenamed("u", "class"), "class").select(self.key, "group")
+        return self._classed().join(state.withColumnRenamed("u", "class"), "class", "left").select(self.key, F.coalesce("group", "class").alias("group"))

@@ -39,11 +39,23 @@ def test_pieces(body):
     pieces, starts = splitting.cut(body, 60, 12)
     assert starts[-1] == len(raw) and pieces[0][0] == 0 and pieces[-1][1] == len(raw)
     for (a, b, _), (c, d, _) in zip(pieces, pieces[1:]):
-        assert a < c < b < d  # each repeats some of the one before
+        assert a < c <= b < d
+        # each repeats some of the one before, unless a stretch needs the room
+        assert c < b or max(splitting.longest_stretch(raw[b : b + 60].decode(errors="ignore"), splitting.byte_starts(raw[b : b + 60].decode(errors="ignore"))), 0) > 60 - 12 - 4
     for a, b, _ in pieces:
         assert b - a <= 60
         raw[a:b].decode()
-    assert any(f for _, _, f in pieces) <= (splitting.longest_stretch(body, starts) > 0)
+    assert any(f for _, _, f in pieces) == (splitting.longest_stretch(body, starts) > 60)
+
+
+def test_long_stretches_stay_whole():
+    rng = random.Random(3)
+    for _ in range(300):
+        body = " ".join("x" * rng.choice([1, 5, 9, 600, 700, 790, 800, 640, 801][: 8 + (rng.random() < 0.1)]) for _ in range(rng.randrange(2, 30)))
+        pieces, starts = splitting.cut(body)
+        assert any(f for _, _, f in pieces) == (splitting.longest_stretch(body, starts) > 800)
+        for (a, b, forced), (c, _, _) in zip(pieces, pieces[1:]):
+            assert b - a <= 800 and c <= b and (forced or body[b - 1] == " " or body[b] == " ")
 
 
 def test_forced_cuts(spark, as_rows):
@@ -102,6 +114,24 @@ def test_large_nodes_branch_before_they_are_gathered(spark, monkeypatch):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_nodes_no_branching_parts_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE_MOST", 10)
+    monkeypatch.setattr(neardup, "DEPTH_MOST", 1)
+    monkeypatch.setattr(neardup, "PAIRS_A_HUB", 7)
+    base = [f"c{k}" for k in range(80)]
+    texts = {k: " ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(40)} | {100: None, 101: "a b", 102: "a b", 103: None}
+    nd = neardup.NearDuplicates(spark.createDataFrame(list(texts.items()), "id bigint, body string"), "id", "body", 3, 0.6, 20)
+    assert {tuple(r) for r in nd.record_pairs().collect()} == exact_pairs(texts, 3, 0.6, 20)
+    assert {r["id"]: r["class"] for r in nd.links().collect()} == {k: k for k in texts} | {102: 101}
+    assert {r["id"]: r["group"] for r in nd.groups().collect()} == {k: 0 for k in range(40)} | {100: 100, 101: 101, 102: 101, 103: 103}
+
+
+def test_copies_of_one_text_never_meet(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.range(40_000).select("id", F.when(F.col("id") == 7, F.lit(text.upper())).otherwise(F.lit(text)).alias("body"))
+    assert neardup.NearDuplicates(df, "id", "body", 3, 0.6, 20).record_pairs().count() == 39_999
+
+
 # 4 labels
 
 
@@ -161,6 +191,18 @@ def test_sharded_trees_agree(spark, as_rows, monkeypatch):
     assert as_rows(labels.typed_labels(values, entries)) == whole
 
 
+def test_ties_within_and_across_shards_are_settled_alike(spark, as_rows, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 8))) for _ in range(120)]
+    entries = spark.createDataFrame([("v", w, f"l{rng.randrange(6)}") for w in words] + [("v", "qqqqq", "x"), ("v", "qqqqz", "y"), ("v", "qqqq", "x")], "vocabulary string, text string, label string")
+    values = spark.createDataFrame([("v", "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 8)))) for _ in range(200)] + [("v", "qqqqx"), ("w", "qqqqx")], "vocabulary string, value string")
+    whole = as_rows(labels.typed_labels(values, entries))
+    assert {r[2] for r in whole} > {"unmatched", "l1"}
+    monkeypatch.setattr(labels, "ENTRIES_MOST", 7)
+    monkeypatch.setattr(labels, "VALUES_MOST", 50)
+    assert as_rows(labels.typed_labels(values, entries)) == whole
+
+
 # 5 pairs
 
 
