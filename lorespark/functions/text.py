@@ -72,7 +72,7 @@ def canonical_relation(relation: Column) -> Column:
 def canonical_entity_type(label: Column) -> Column:
     """A type of the closed vocabulary; what isn't known becomes 'concept'."""
     plain = F.replace(F.lower(F.trim(label)), F.lit("-"), F.lit("_"))
-    aliases = {alias: kind for kind, names in v.ENTITY_TYPE_ALIASES.items() for alias in names.split()}
+    aliases = {alias: kind for kind, names in v.ENTITY_TYPE_ALIASES.items() for alias in names}
     return F.when(label.isNull(), F.lit(None)).otherwise(F.when(plain.isin(*v.ENTITY_TYPES), plain).otherwise(F.coalesce(_mapped(aliases, plain), F.lit("concept"))))
 
 
@@ -96,15 +96,20 @@ def file_name(path: Column, most: int = 60) -> Column:
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """Names made unique: the first keeps its name, later ones get -1, -2 and so on in ``order``.
 
-    A numbered name that is itself taken moves on; bases are handled apart, so a frequent base is one window.
+    A number whose name is taken is passed over. With the taken numbers of a base in ascending order, the j-th has
+    its value less j free ones below it; a row gets its place plus the number of taken ones with fewer free below.
+    One ordered pass over the rows and the taken numbers of a base finds these, whatever their number.
     """
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1)
-    taken = df.select(F.regexp_extract(name, r"^(.*)-(\d+)$", 1).alias("_base"), F.regexp_extract(name, r"-(\d+)$", 1).alias("_used")).where("_used <> ''")
-    used = taken.groupBy("_base").agg(F.collect_set(F.col("_used").cast("bigint")).alias("_used"))
-    free = F.filter(F.sequence(F.lit(1).cast("bigint"), F.col("_n").cast("bigint") + F.size(F.coalesce("_used", F.array().cast("array<bigint>")))), lambda k: ~F.array_contains(F.coalesce("_used", F.array().cast("array<bigint>")), k))
-    joined = ranked.join(used, ranked[name] == used["_base"], "left")
-    numbered = F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat_ws("-", F.col(name), F.element_at(free, F.col("_n").cast("int")).cast("string")))
-    return joined.withColumn("unique_name", numbered).drop("_n", "_base", "_used")
+    taken = df.select(F.regexp_extract(name, r"^(.*)-([1-9]\d*)$", 1).alias("_base"), F.regexp_extract(name, r"-([1-9]\d{0,17})$", 1).try_cast("bigint").alias("_used")).where("_used is not null").distinct()
+    below = F.col("_used") - F.row_number().over(Window.partitionBy("_base").orderBy("_used"))
+    gaps = taken.select(F.col("_base").alias("_name"), below.cast("bigint").alias("_at"), F.lit(1).alias("_gap"), F.lit(None).cast("bigint").alias("_n"))
+    rows = ranked.where("_n > 0").select(F.col(name).alias("_name"), F.col("_n").cast("bigint").alias("_at"), F.lit(0).alias("_gap"), F.col("_n").cast("bigint").alias("_n"))
+    # a gap counts for the rows of a higher place, so at one place rows come first
+    passed = F.sum("_gap").over(Window.partitionBy("_name").orderBy("_at", "_gap").rowsBetween(Window.unboundedPreceding, 0))
+    numbers = rows.unionByName(gaps).withColumn("_number", F.col("_at") + passed).where("_gap = 0").select("_name", "_n", "_number")
+    joined = ranked.join(numbers, (ranked[name] == numbers["_name"]) & (ranked["_n"] == numbers["_n"]), "left").drop(numbers["_n"])
+    return joined.withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat_ws("-", F.col(name), F.col("_number").cast("string")))).drop("_n", "_name", "_number")
 
 
 ADDRESS = r"https?://[^\s)\]}\"'<]*"
@@ -167,9 +172,12 @@ def body_hash(body: Column) -> Column:
 
 
 def part_description(description: Column, part: Column, parts: Column) -> Column:
-    """' (part i/n)' appended, the whole at most 500 bytes of ASCII or 500 characters."""
+    """' (part i/n)' appended to as many whole characters as keep it within 500 bytes of UTF-8."""
     suffix = F.format_string(" (part %d/%d)", part, parts)
-    return F.concat(F.substring(description, F.lit(1), F.lit(v.DESCRIPTION_MOST) - F.length(suffix)), suffix)
+    room = F.lit(v.DESCRIPTION_MOST) - F.octet_length(suffix)
+    # the first 500 characters at most can fit; what fits of them is found by the bytes up to each
+    upto = F.filter(F.sequence(F.lit(0), F.least(F.length(description), F.lit(v.DESCRIPTION_MOST))), lambda k: F.octet_length(F.substring(description, F.lit(1), k)) <= room)
+    return F.concat(F.substring(description, F.lit(1), F.array_max(upto)), suffix)
 
 
 def change_action(reason: Column) -> Column:
@@ -183,7 +191,11 @@ def parse_epoch(text: Column) -> Column:
 
 
 def iso_time(epoch: Column, zone: str = "UTC") -> Column:
-    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(epoch), zone), "yyyy-MM-dd'T'HH:mm:ss")
+    """The local time of a zone with its offset from UTC, whatever the zone of the session."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(secs=epoch))
+    ahead = F.timestamp_diff("MINUTE", F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(secs=epoch), local)
+    offset = F.format_string("%s%02d:%02d", F.when(ahead < 0, "-").otherwise("+"), F.floor(F.abs(ahead) / 60), F.abs(ahead) % 60)
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
 
 
 WORDS = re.compile(r"[^\W_]+")

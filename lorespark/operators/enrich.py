@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators.mutate import upsert_edges, upsert_entities
+from lorespark.operators.mutate import numbered, upsert_edges, upsert_entities
 from lorespark.operators.scan import in_namespaces, like_ignoring_case, live
 from lorespark.operators.vector import missing_embeddings
 from lorespark.runtime import materialize
@@ -106,6 +106,52 @@ def backlog(memories: DataFrame, entities: DataFrame, relationships: DataFrame,
     return out
 
 
+#: Operations without a backlog of their own: they look at whatever there is.
+ADVISORY = ("augment-bindings", "entity-connect", "cross-domain-bridges", "domain-classify", "graph-audit", "deep-research-synth", "body-extract")
+
+
+def backlog_of_namespace(memories: DataFrame, entities: DataFrame, relationships: DataFrame, bindings: DataFrame, memory_vectors: DataFrame, entity_vectors: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, namespace: str, dim: int = DIM) -> DataFrame:
+    """``(operation, n)`` of all fifteen operations in one namespace. Edges belong to the namespace of their source.
+
+    ``chunks``: (chunk_id, memory_id).
+    """
+    m, e = live(memories, namespace), in_namespaces(entities, namespace)
+    outgoing = relationships.join(e.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    of_chunks = chunks.join(m.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    lacking = re_embed(m, e, of_chunks, memory_vectors, entity_vectors, chunk_vectors, dim)
+    scans = {
+        "memory-bindings": unbound_memories(memories, bindings, namespace),
+        "entity-descriptions": without_description(entities, namespace),
+        "body-enrich": short_bodies(memories, namespace=namespace),
+        "re-embed": lacking,
+        "weight-calibrate": outgoing.where(F.col("weight") >= HIGH_WEIGHT),
+        "relation-reclassify": outgoing.where(F.col("relation") == GENERIC_RELATION),
+        "entity-type-validate": e,
+        "description-enrich": generic_descriptions(memories, namespace),
+    }
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("operation"), "n") for name, df in scans.items()]
+    none = memories.sparkSession.createDataFrame([(name, 0) for name in ADVISORY], "operation string, n bigint")
+    for part in parts:
+        none = none.unionByName(part)
+    return none
+
+
+def named_live(memories: DataFrame, names: Sequence[str] | None = None, namespace: str | None = None) -> DataFrame:
+    """Live memories, of some names if given: what the advisory operations look at."""
+    rows = live(memories, namespace)
+    return rows.where(F.col("name").isin(list(names))) if names else rows
+
+
+def clear(queue: DataFrame, operation: object) -> DataFrame:
+    """The queue without the rows of an operation: how a plain run of it begins."""
+    return queue.where(~F.col("operation").eqNullSafe(F.lit(operation)))
+
+
+def rescan(queue: DataFrame, items: DataFrame, vetoed: DataFrame, now: Column) -> DataFrame:
+    """A further pass: what a scan finds again is queued, but for keys given up in an earlier pass (item_key)."""
+    return enqueue(queue, items.join(vetoed.select("item_key"), "item_key", "left_anti"), now)
+
+
 def persist_bindings(memories: DataFrame, entities: DataFrame, relationships: DataFrame, bindings: DataFrame, found_entities: DataFrame, found_edges: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Extracted entities and edges folded into the graph.
 
@@ -132,8 +178,8 @@ def accepted_bodies(memories: DataFrame, rewritten: DataFrame, threshold: float
 
 
 def enqueue(queue: DataFrame, items: DataFrame, now: Column) -> DataFrame:
-    """The queue with new items (item_key, operation); a key already there, in any state, isn't added again."""
-    new = items.select("item_key", "operation").dropDuplicates(["item_key"]).join(queue.select("item_key"), "item_key", "left_anti")
+    """The queue with new items (item_key, operation), numbered behind the rows there; a key already there, in any state, isn't added again."""
+    new = numbered(items.select("item_key", "operation").dropDuplicates(["item_key"]).join(queue.select("item_key"), "item_key", "left_anti"), queue, ["item_key"])
     return queue.unionByName(new.withColumn("status", F.lit("pending")).withColumn("attempt", F.lit(0)).withColumn("created_at", now), allowMissingColumns=True)
 
 

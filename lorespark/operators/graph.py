@@ -97,6 +97,14 @@ def related(memories: DataFrame, bindings: DataFrame, relationships: DataFrame,
     return hits.groupBy("memory_id").agg(first.alias("b")).select("memory_id", "b.*").orderBy("hop", F.desc("weight"), "memory_id").limit(limit)
 
 
+def related_by_name(memories: DataFrame, entities: DataFrame, bindings: DataFrame, relationships: DataFrame, namespace: str, name: str, **options: object) -> DataFrame:
+    """``related`` of a live memory of that name, which is left out itself, or, where there is none, of the entity of that name."""
+    memory = memories.where((F.col("namespace") == namespace) & (F.col("name") == name) & F.col("deleted_at").isNull()).select(F.col("id").alias("memory_id"))
+    entity = entities.where((F.col("namespace") == namespace) & (F.col("name") == name)).select(F.col("id").alias("entity_id"))
+    other = entity.where(memory.agg(F.count(F.lit(1)).alias("n")).scalar() == 0)
+    return related(memories, bindings, relationships, entities_of(bindings, memory).union(other), namespace, exclude=memory, **options)
+
+
 def incident_edges(relationships: DataFrame, seeds: DataFrame, hops: int = HOPS, namespace: str | None = None) -> DataFrame:
     """``(entity_id, hop, rel_id, other_id, relation, weight, direction)``: every edge at each entity nearer than ``hops``, whatever its weight."""
     walkable = steps(relationships, namespace, None, "both")

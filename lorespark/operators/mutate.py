@@ -7,6 +7,7 @@ key the last in the given order wins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,14 +58,17 @@ def remember(memories: DataFrame, versions: DataFrame, incoming: DataFrame, now:
     ``incoming``: (seq, namespace, name, type, description, body, source, metadata), in the order of ``seq``.
     A merge keeps what the incoming row leaves null, keeps the old body for an empty one, revives a deleted row,
     and adds a version only if something changed. Without ``merge`` a taken name is an error. With
-    ``skip_equal_bodies`` a body already live in the namespace is skipped. Outcomes: created, merged, unchanged,
-    skipped, superseded (a later row of the batch has its name) or the problem.
+    ``skip_equal_bodies`` a body already live in the namespace, or borne by an earlier row of the batch under
+    another name, is skipped. Outcomes: created, merged, unchanged, skipped, superseded (a later row of the batch
+    has its name) or the problem.
     """
     checked = valid_memories(incoming)
     good = checked.where(F.col("problem").isNull()).withColumn("name", F.col("slug"))
     if skip_equal_bodies:
         known = memories.where(F.col("deleted_at").isNull()).select("namespace", T.body_hash(F.col("body")).alias("_h"), F.col("name").alias("_owner")).where(F.col("_h").isNotNull())
-        same = good.withColumn("_h", T.body_hash(F.col("body"))).join(known, ["namespace", "_h"]).where(F.col("_owner") != F.col("name")).select("seq").distinct()
+        hashed = good.select("namespace", "name", "seq", T.body_hash(F.col("body")).alias("_h"))
+        before = hashed.groupBy("namespace", "_h").agg(F.min_by("name", "seq").alias("_owner")).where(F.col("_h").isNotNull())
+        same = hashed.join(known.unionByName(before), ["namespace", "_h"]).where(F.col("_owner") != F.col("name")).select("seq").distinct()
         skipped, good = good.join(same, "seq", "left_semi"), good.join(same, "seq", "left_anti")
     else:
         skipped = good.where(F.lit(False))
@@ -131,6 +135,39 @@ def rename(memories: DataFrame, namespace: str, old: str, new: str, now: int) ->
     return rows.withColumn("updated_at", F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))).withColumn("name", F.when(hit, F.lit(slug)).otherwise(F.col("name"))).drop("_taken")
 
 
+def edit_versioned(memories: DataFrame, versions: DataFrame, namespace: str, name: str, now: int, expected_updated_at: int | None = None, force: bool = False, **changes: object) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``edit`` with its version: new memories, new versions, and one row ``(outcome, re_embed)``.
+
+    Outcomes: edited, conflict (updated since ``expected_updated_at``) or not_found. The vector has to be made anew
+    if the body or the type changed, or if forced.
+    """
+    here = (F.col("namespace") == namespace) & (F.col("name") == name) & F.col("deleted_at").isNull()
+    row = memories.where(here)
+    fits = F.lit(True) if expected_updated_at is None else F.coalesce(F.col("updated_at") == expected_updated_at, F.lit(False))
+    body = F.lit(changes["body"]) if "body" in changes else F.col("body")
+    fresh = row.where(fits).select(F.col("id").alias("memory_id"), F.lit("edit").alias("change_reason"), body.alias("body"))
+    differs = F.lit(force)
+    for c in ("body", "type"):
+        differs = differs | ~F.col(c).eqNullSafe(F.lit(changes[c])) if c in changes else differs
+    state = row.agg(F.count(F.lit(1)).alias("_n"), F.count_if(fits).alias("_fit"), F.coalesce(F.bool_or(fits & differs), F.lit(False)).alias("re_embed"))
+    outcome = state.select(F.when(F.col("_n") == 0, "not_found").when(F.col("_fit") == 0, "conflict").otherwise("edited").alias("outcome"), "re_embed")
+    return edit(memories, namespace, name, now, expected_updated_at, **changes), add_versions(versions, fresh), outcome
+
+
+def rename_versioned(memories: DataFrame, versions: DataFrame, namespace: str, old: str, new: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rename`` with its version: new memories, new versions, and one row ``(outcome)``: renamed, not_found, occupied or bad name."""
+    slug = new.lower().replace("_", "-").replace(" ", "-").strip("-")
+    here = (F.col("namespace") == namespace) & F.col("deleted_at").isNull()
+    state = memories.agg(F.count_if(here & (F.col("name") == old)).alias("_there"), F.count_if(here & (F.col("name") == slug)).alias("_taken"))
+    state = state.withColumn("_good", F.coalesce(T.valid_memory_slug(F.lit(slug)), F.lit(False)))
+    outcome = F.when(~F.col("_good"), "bad name").when(F.col("_there") == 0, "not_found").when(F.col("_taken") > 0, "occupied").otherwise("renamed")
+    done = state.select(outcome.alias("outcome"))
+    moved = memories.where(here & (F.col("name") == old)).withColumn("_o", done.scalar()).where("_o = 'renamed'")
+    fresh = moved.select(F.col("id").alias("memory_id"), F.lit("rename").alias("change_reason"), "body")
+    valid = bool(re.fullmatch(r"[a-z][a-z0-9-]{0,78}[a-z0-9]|[a-z0-9]", slug))
+    return rename(memories, namespace, old, new, now) if valid else memories, add_versions(versions, fresh), done
+
+
 def forget(memories: DataFrame, embeddings: DataFrame, names: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Memories ``names`` (namespace, name) soft-deleted: memories, vectors, and ``(namespace, name, outcome)``."""
     wanted = names.select("namespace", "name").distinct()
@@ -149,9 +186,13 @@ def latest_version(versions: DataFrame, without_restores: bool = True) -> DataFr
     return rows.groupBy("memory_id").agg(F.max("version").alias("version"), F.max_by("body", "version").alias("body"))
 
 
-def restore(memories: DataFrame, versions: DataFrame, memory_ids: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """Memories brought back to their latest version, under their present name, with a version that says so."""
-    chosen = latest_version(versions).join(memory_ids.select("memory_id"), "memory_id", "left_semi")
+def restore(memories: DataFrame, versions: DataFrame, memory_ids: DataFrame, now: int, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Memories brought back to a version, their latest that is no restore unless one is named, under their present name, with a version that says so.
+
+    Memories without that version stay as they are. Chunks and vectors are made anew from the ids the new versions name.
+    """
+    source = latest_version(versions) if version is None else versions.where(F.col("version") == version).select("memory_id", "version", "body")
+    chosen = source.join(memory_ids.select("memory_id"), "memory_id", "left_semi")
     joined = memories.join(chosen.select(F.col("memory_id").alias("id"), F.col("body").alias("_body"), F.lit(True).alias("_hit")), "id", "left")
     hit = F.coalesce("_hit", F.lit(False))
     columns = {"body": F.when(hit, F.col("_body")).otherwise(F.col("body")), "deleted_at": F.when(hit, F.lit(None).cast("bigint")).otherwise(F.col("deleted_at")), "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at")), "body_hash": F.when(hit, T.body_hash(F.col("_body"))).otherwise(F.col("body_hash"))}
@@ -224,6 +265,46 @@ def upsert_edges(relationships: DataFrame, incoming: DataFrame, now: int) -> Dat
     return state.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in relationships.columns))
 
 
+def link(entities: DataFrame, relationships: DataFrame, incoming: DataFrame, now: int, create_missing: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges between entities by their names: new entities, new edges, and ``(seq, outcome)``.
+
+    ``incoming``: (seq, namespace, source, target, relation, weight). A name stands for the entity of its normal
+    form, of several the least id. Outcomes: created, updated (another weight), exists, superseded (a later row of
+    the batch names the same edge), missing entity (unless created as a concept), self link, bad weight, bad
+    relation (of an ill form or, if strict, outside the vocabulary).
+    """
+    rows = incoming.select("seq", "namespace", T.normalize_entity_name(F.col("source")).alias("_s"), T.normalize_entity_name(F.col("target")).alias("_t"), T.normalize_relation(F.col("relation")).alias("relation"), F.coalesce("weight", F.lit(0.5)).alias("weight"))
+    shaped = F.col("relation").isin(*v.RELATIONS) if strict else T.valid_relation(F.col("relation"))
+    problem = F.when(F.col("_s") == F.col("_t"), "self link").when(~F.col("weight").between(0, 1), "bad weight").when(~F.coalesce(shaped, F.lit(False)), "bad relation")
+    checked = rows.withColumn("problem", problem)
+    good = checked.where(F.col("problem").isNull())
+    if create_missing:
+        ends = good.select("seq", "namespace", F.explode(F.array("_s", "_t")).alias("name"))
+        have = entities.select("namespace", T.normalize_entity_name(F.col("name")).alias("name"))
+        entities = upsert_entities(entities, ends.join(have, ["namespace", "name"], "left_anti").select("seq", "namespace", "name", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("description")), now)
+    ids = entities.groupBy("namespace", T.normalize_entity_name(F.col("name")).alias("_n")).agg(F.min("id").alias("_id"))
+    end = lambda name, id_: ids.select("namespace", F.col("_n").alias(name), F.col("_id").alias(id_))
+    placed = good.join(end("_s", "source_id"), ["namespace", "_s"], "left").join(end("_t", "target_id"), ["namespace", "_t"], "left")
+    there = placed.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    key = ["source_id", "target_id", "relation"]
+    last = there.groupBy(*key).agg(F.max("seq").alias("_last"))
+    old = relationships.groupBy(*key).agg(F.max_by(F.struct("weight"), "id").alias("_old"))
+    found = there.join(last, key).join(old, key, "left")
+    outcome = F.when(F.col("seq") < F.col("_last"), "superseded").when(F.col("_old").isNull(), "created").when(F.col("_old.weight") == F.col("weight"), "exists").otherwise("updated")
+    outcomes = found.select("seq", outcome.alias("outcome"))
+    missing = placed.where(F.col("source_id").isNull() | F.col("target_id").isNull()).select("seq", F.lit("missing entity").alias("outcome"))
+    bad = checked.where(F.col("problem").isNotNull()).select("seq", F.col("problem").alias("outcome"))
+    edges = upsert_edges(relationships, there.select("seq", "namespace", *key, "weight", F.lit(None).cast("string").alias("description")), now)
+    return entities, edges, outcomes.unionByName(missing).unionByName(bad)
+
+
+def persist_urls(urls: DataFrame, found: DataFrame, now: int) -> DataFrame:
+    """Addresses with those of ``found`` (memory_id, url, url_offset) that aren't there for their memory yet; the others stay as they are."""
+    fresh = found.groupBy("memory_id", "url").agg(F.min("url_offset").alias("url_offset")).join(urls.select("memory_id", "url"), ["memory_id", "url"], "left_anti")
+    new = numbered(fresh, urls, ["memory_id", "url_offset", "url"]).withColumn("created_at", F.lit(now).cast("bigint"))
+    return urls.unionByName(new.select(*urls.columns))
+
+
 def unlink(relationships: DataFrame, source_id: int | None = None, target_id: int | None = None, relation: str | None = None, entity_id: int | None = None) -> DataFrame:
     """Edges without one relation of a pair, all of a pair, or all of an entity."""
     if entity_id is not None:
@@ -247,6 +328,22 @@ def stage_transition(staged: DataFrame, ids: DataFrame, to: Column | str, allowe
     return marked.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in staged.columns))
 
 
+def list_backlog(staged: DataFrame, statuses: Sequence[str] = ("pending", "validated", "embedding_in_progress", "failed"), limit: int | None = None) -> DataFrame:
+    """Staged rows still to be done, the oldest first."""
+    rows = staged.where(F.col("status").isin(list(statuses))).orderBy("updated_at", "pending_id")
+    return rows.limit(limit) if limit is not None else rows
+
+
+def abandon(staged: DataFrame, ids: DataFrame, now: int) -> DataFrame:
+    """Staged rows of some ids given up, unless committed."""
+    return stage_transition(staged, ids, "abandoned", ("pending", "validated", "embedding_in_progress", "failed"), now)
+
+
+def retry(staged: DataFrame, ids: DataFrame, now: int) -> DataFrame:
+    """Failed or abandoned rows of some ids to be tried again."""
+    return stage_transition(staged, ids, "pending", ("failed", "abandoned"), now)
+
+
 def clean_staged(staged: DataFrame, older_than: int, statuses: Sequence[str] = ("committed", "abandoned", "failed")) -> DataFrame:
     """Staged rows without the finished ones last touched before a time."""
     return staged.where(~(F.col("status").isin(list(statuses)) & (F.col("updated_at") < older_than)))

@@ -110,6 +110,33 @@ def health(memories: DataFrame, entities: DataFrame, relationships: DataFrame, b
     return out
 
 
+def health_report(memories: DataFrame, entities: DataFrame, relationships: DataFrame, bindings: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """``(check_name, value, warn)``: the counts of ``health``, the ratios and hubs, and whether each calls for attention.
+
+    A warning stands for: vectors missing or left over, bindings that dangle, names not in normal form, a relation
+    of more than 40 % of the edges, mentions of more than half, and any hub.
+    """
+    quiet = ("live_memories", "entities", "relationships")
+    counts = health(memories, entities, relationships, bindings, embeddings).select("check_name", F.col("value").cast("double").alias("value"), (~F.col("check_name").isin(*quiet) & (F.col("value") > 0)).alias("warn"))
+    row = lambda df, name, value, warn: df.select(F.lit(name).alias("check_name"), value.cast("double").alias("value"), F.coalesce(warn, F.lit(False)).alias("warn"))
+    ratios = relation_ratios(relationships)
+    top = relation_concentration(relationships)
+    degree = endpoints(relationships).groupBy("entity_id").agg(F.count(F.lit(1)).alias("d")).agg(F.max("d").alias("most"), F.count_if(F.col("d") > HUB_DEGREE).alias("n"))
+    missing, alive = F.col("m"), F.col("a")
+    covered = live(memories).select("id").join(embeddings.select(F.col("memory_id").alias("id"), F.lit(1).alias("_v")).distinct(), "id", "left").agg(F.count_if(F.col("_v").isNull()).alias("m"), F.count(F.lit(1)).alias("a"))
+    more = [
+        row(covered, "vector_coverage_pct", F.when(alive == 0, 100.0).otherwise((alive - missing) * 100.0 / alive), missing > 0),
+        row(ratios, "mentions_ratio", F.col("mentions_ratio"), F.col("mentions_warn")),
+        row(ratios, "applies_to_ratio", F.col("applies_to_ratio"), F.lit(False)),
+        row(top, "top_relation_share", F.col("share"), F.col("warn")),
+        row(degree, "super_hubs", F.col("n"), F.col("n") > 0),
+        row(degree, "max_degree", F.coalesce("most", F.lit(0)), F.lit(False)),
+    ]
+    for part in more:
+        counts = counts.unionByName(part)
+    return counts
+
+
 def queue_status(queue: DataFrame, now: int) -> DataFrame:
     """``(operation, status, n, eligible, waiting)``: pending rows are eligible once their next try has come."""
     later = F.col("next_retry_at").isNotNull() & (F.col("next_retry_at") > now)

@@ -103,6 +103,30 @@ def memory_graph_context(relationships: DataFrame, bindings: DataFrame, memory_i
     return ends.join(mine, "entity_id").select("memory_id", "relationship_id", "source_id", "target_id", "relation", "weight").distinct()
 
 
+def chunks_of(chunks: DataFrame, memory_ids: DataFrame) -> DataFrame:
+    """The chunks of some memories (memory_id), in their order."""
+    return chunks.join(memory_ids.select("memory_id"), "memory_id", "left_semi").orderBy("memory_id", "chunk_idx")
+
+
+def urls_of(urls: DataFrame, memory_ids: DataFrame) -> DataFrame:
+    """The addresses of some memories (memory_id), as they were stored."""
+    return urls.join(memory_ids.select("memory_id"), "memory_id", "left_semi").orderBy("memory_id", "id")
+
+
+def count_listed(memories: DataFrame, namespace: str, type_: str | None = None, include_deleted: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
+    """``(total, truncated)``: how many rows ``list_memories`` of the same filters has, and whether its page ends before them."""
+    rows = in_namespaces(memories, namespace) if include_deleted else live(memories, namespace)
+    rows = rows.where(F.col("type") == type_) if type_ else rows
+    return rows.agg(F.count(F.lit(1)).alias("total")).select("total", (F.col("total") > limit + offset).alias("truncated"))
+
+
+def entity_bindings(entities: DataFrame, bindings: DataFrame, memories: DataFrame) -> DataFrame:
+    """``(id, name, memories)``: the entities bound to live memories and to how many."""
+    alive = live(memories).select(F.col("id").alias("memory_id"))
+    counts = bindings.join(alive, "memory_id", "left_semi").groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("memories"))
+    return entities.select("id", "name").join(counts, "id")
+
+
 def like_ignoring_case(column: str, *patterns: str) -> Column:
     """Any of some LIKE patterns, letters of either case."""
     found = F.lit(False)

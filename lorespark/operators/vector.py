@@ -114,6 +114,11 @@ def orphan_vectors(embeddings: DataFrame, memories: DataFrame) -> DataFrame:
     return embeddings.join(live(memories).select(F.col("id").alias("memory_id")), "memory_id", "left_anti")
 
 
+def purge_orphans(embeddings: DataFrame, memories: DataFrame) -> DataFrame:
+    """The vectors whose memory is there and not deleted."""
+    return embeddings.join(live(memories).select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+
+
 def coverage(owners: DataFrame, embeddings: DataFrame, owner_key: str, dim: int, table: str) -> DataFrame:
     """``(table, total, with_vector, missing, coverage_pct)``; 100 % of nothing."""
     good = embeddings.where((F.col("dim") == dim) & (F.size("embedding") > 0)).select(F.col(owner_key).alias("id")).distinct().withColumn("_v", F.lit(1))
@@ -140,15 +145,31 @@ def vector_stats(embeddings: DataFrame, memories: DataFrame) -> DataFrame:
 def mean_pool(chunks: DataFrame, group: str, dim: int) -> DataFrame:
     """``(group, embedding)``: mean of a group's vectors, scaled to length 1 if longer than 1e-9; a single one as it is.
 
-    Sums are made per position, so map tasks combine them and no task holds a group.
+    Each batch adds up the vectors of a group in one product and hands on one row a group; those partial sums, as
+    many as batches hold the group, are added position by position in an aggregation that combines before it
+    shuffles, so no task holds a group and vectors are never spelled out one number a row.
     """
-    usable = chunks.where(F.size("embedding") == dim)
-    flat = usable.select(group, F.posexplode("embedding").alias("pos", "x"))
-    means = flat.groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    whole = means.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("v"), F.max("n").alias("n"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
-    values = F.transform("v", lambda p: p["m"])
-    scaled = F.when((F.col("n") > 1) & (F.col("norm") > 1e-9), F.transform(values, lambda x: x / F.col("norm"))).otherwise(values)
-    return whole.select(group, scaled.alias("embedding"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, rows = _matrix(batch.column(1), dim)
+            keys = batch.column(0).take(pa.array(rows)).dictionary_encode()
+            groups = keys.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(groups, kind="stable")
+            first = np.flatnonzero(np.diff(groups[order], prepend=-1))
+            sums = np.add.reduceat(vectors[order], first) if len(first) else np.zeros((0, dim))
+            n = np.diff(np.append(first, len(order)))
+            offsets = pa.array(np.arange(0, dim * len(first) + 1, dim), pa.int32())
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(groups[order][first])), pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1))), pa.array(n, pa.int64())], [group, "s", "n"])
+
+    kind = chunks.schema[group].dataType.simpleString()
+    usable = chunks.where((F.size("embedding") == dim) & F.col(group).isNotNull())
+    partial = usable.select(group, "embedding").mapInArrow(run, f"`{group}` {kind}, s array<double>, n bigint")
+    sums = partial.groupBy(group).agg(*(F.sum(F.col("s")[k]).alias(f"_{k}") for k in range(dim)), F.sum("n").alias("n"))
+    mean = sums.select(group, "n", F.array(*(F.col(f"_{k}") / F.col("n") for k in range(dim))).alias("m"))
+    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda t, x: t + x * x))
+    scaled = F.when((F.col("n") > 1) & (F.col("norm") > 1e-9), F.transform("m", lambda x: x / F.col("norm"))).otherwise(F.col("m"))
+    return mean.withColumn("norm", norm).select(group, scaled.alias("embedding"))
 
 
 def decode_vector(raw: Column) -> Column:

@@ -20,26 +20,31 @@ CONJUNCTION = re.compile(r" (?:and|AND|e|E) |,")
 K, SUB_QUERIES, HOPS, DECAY, MIN_SCORE, MOST, CHAINS = 20, 7, 3, 0.7, 0.05, 50, 20
 
 
-def decompose(question: str, most: int = SUB_QUERIES) -> list[str]:
-    """Sub-queries: parted by relational phrases, else semicolons, else commas and conjunctions, else word pairs."""
-    rest, out, parted = question, [], False
+def _by_phrases(question: str) -> list[str]:
+    """The stretches between the phrases, each phrase looked for once, in its order, behind the one before."""
+    cuts, begin = [], 0
     for phrase in PHRASES:
-        at = rest.lower().find(phrase)
-        if at >= 0:
-            parted = True
-            left, right = rest[:at].strip(), rest[at + len(phrase) :].strip()
-            out += [left] if left else []
-            rest = right or rest
-    if parted:
-        out.append(rest)
-    for parts in ([] if out else [question.split(";"), CONJUNCTION.split(question)]):
-        if len(parts) > 1:
-            out = [p.strip() for p in parts if p.strip()]
-            break
+        if (hit := re.search(re.escape(phrase), question[begin:], re.I)) is not None:
+            cuts.append((begin, begin + hit.start()))
+            begin += hit.end() if question[begin + hit.end() :].strip() else 0
+    return [question[a:b] for a, b in [*cuts, (begin, len(question))]] if cuts else []
+
+
+def _word_pairs(question: str) -> list[str]:
     words = [w for w in question.split() if len(w.encode()) > 2]
-    if not out and len(words) >= 3:
-        out = [question, " ".join(words[:2]), " ".join(words[-2:])]
-    return (out or [question])[:most]
+    return [question, " ".join(words[:2]), " ".join(words[-2:])] if len(words) >= 3 else []
+
+
+SPLITTERS = (_by_phrases, lambda q: q.split(";"), CONJUNCTION.split, _word_pairs)
+
+
+def decompose(question: str, most: int = SUB_QUERIES) -> list[str]:
+    """Sub-queries: what the first splitter that parts the question gives, else the question itself."""
+    for split in SPLITTERS:
+        parts = split(question)
+        if len(parts) > 1:
+            return [p.strip() for p in parts if p.strip()][:most] or [question]
+    return [question]
 
 
 def candidates(memories: DataFrame, embeddings: DataFrame, vectors: dict[int, Sequence[float]], texts: dict[int, str], k: int = K, namespaces: Sequence[str] | None = None) -> DataFrame:
@@ -62,18 +67,22 @@ def candidates(memories: DataFrame, embeddings: DataFrame, vectors: dict[int, Se
     return ranked.withColumn("_n", best).where(F.col("_n") <= 2 * k).drop("_n")
 
 
-def research(memories: DataFrame, bindings: DataFrame, relationships: DataFrame, embeddings: DataFrame, vectors: dict[int, Sequence[float]], texts: dict[int, str], k: int = K, hops: int = HOPS, min_weight: float = 0.3, decay: float = DECAY, min_score: float = MIN_SCORE, most: int = MOST, cap: int | None = 10) -> tuple[DataFrame, DataFrame]:
+def research(memories: DataFrame, bindings: DataFrame, relationships: DataFrame, embeddings: DataFrame, vectors: dict[int, Sequence[float]], texts: dict[int, str], k: int = K, hops: int = HOPS, min_weight: float = 0.3, decay: float = DECAY, min_score: float = MIN_SCORE, most: int = MOST, cap: int | None = 10, entity_embeddings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Results ``(memory_id, score, source, hop, query_ids)`` and chains ``(from_id, to_id, depth, total_weight, path, query_id)``.
 
     Each memory has its best score over the sub-queries and their ids. Memories reached through the graph score
     the mean of their sub-query's five best seeds, decayed by hop. Chains are the paths to reached entities,
-    twenty a sub-query, one for each pair of ends.
+    twenty a sub-query, one for each pair of ends. With ``entity_embeddings`` the search begins at the five
+    entities nearest to each sub-query's vector as well as at those of its best memories.
     """
     direct = materialize(candidates(memories, embeddings, vectors, texts, k), "candidates")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
     seeds = direct.withColumn("_n", first).where("_n <= 5")
     means = seeds.groupBy("query_id").agg(F.avg("score").alias("_mean"))  # one row a sub-query
     entities = bindings.join(seeds.select("query_id", "memory_id"), "memory_id").select("query_id", "entity_id").distinct()
+    if entity_embeddings is not None:
+        near = vector.knn_many(entity_embeddings, "entity_id", vectors, 5)
+        entities = entities.unionByName(near.select("query_id", "entity_id")).distinct()
     found = graph.bfs(graph.steps(relationships, None, min_weight), entities, hops, cap, ["query_id"]).where("hop > 0")
     alive = memories.where(F.col("deleted_at").isNull()).select(F.col("id").alias("memory_id"))
     hits = bindings.select("memory_id", "entity_id").join(found.select("query_id", "entity_id", "hop"), "entity_id").groupBy("query_id", "memory_id").agg(F.min("hop").alias("hop"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import chunking
 from lorespark.functions import text as T
+from lorespark.functions import vocabulary as v
 from lorespark.operators import curate, enrich, fts, fusion, graph, mutate, references, report, scan, vector
 from lorespark.operators.curate import Graph
 from lorespark.plans import research, retrieve
@@ -134,9 +135,7 @@ def memory_bindings(s: Store) -> DataFrame:
 
 @query("SELECT e.id, e.name, count(*) AS memories FROM bind b JOIN ent e ON e.id = b.entity_id JOIN mem m ON m.id = b.memory_id WHERE m.deleted_at IS NULL GROUP BY ALL")
 def entity_bindings(s: Store) -> DataFrame:
-    alive = scan.live(s.memories).select(F.col("id").alias("memory_id"))
-    counts = s.bindings.join(alive, "memory_id", "left_semi").groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("memories"))
-    return s.entities.select("id", "name").join(counts, "id")
+    return scan.entity_bindings(s.entities, s.bindings, s.memories)
 
 
 @query("SELECT DISTINCT b.memory_id, r.id AS relationship_id, r.source_id, r.target_id, r.relation, r.weight FROM bind b JOIN rel r ON r.source_id = b.entity_id OR r.target_id = b.entity_id WHERE b.memory_id IN (1, 2, 3)")
@@ -196,8 +195,7 @@ def vectors_orphaned(s: Store) -> DataFrame:
 
 @query("SELECT memory_id, namespace FROM mvec WHERE memory_id IN (SELECT id FROM mem WHERE deleted_at IS NULL)")
 def vectors_purge_orphans(s: Store) -> DataFrame:
-    alive = scan.live(s.memories).select(F.col("id").alias("memory_id"))
-    return s.memory_vectors.join(alive, "memory_id", "left_semi").select("memory_id", "namespace")
+    return vector.purge_orphans(s.memory_vectors, s.memories).select("memory_id", "namespace")
 
 
 @query("SELECT 'memories' AS \"table\", dim, count(*) AS n FROM mvec GROUP BY dim UNION ALL SELECT 'entities', dim, count(*) FROM evec GROUP BY dim UNION ALL SELECT 'chunks', dim, count(*) FROM cvec GROUP BY dim")
@@ -457,12 +455,15 @@ def top_hub(s: Store) -> DataFrame:
 _NORMAL = "trim(regexp_replace(lower(regexp_replace(strip_accents(name), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query(f"""
+ORACLE_HEALTH = f"""
 SELECT 'live_memories' AS check_name, count(*) AS value FROM mem WHERE deleted_at IS NULL UNION ALL SELECT 'entities', count(*) FROM ent UNION ALL SELECT 'relationships', count(*) FROM rel
 UNION ALL SELECT 'memories_without_vector', count(*) FROM mem WHERE deleted_at IS NULL AND id NOT IN (SELECT memory_id FROM mvec)
 UNION ALL SELECT 'vectors_without_memory', count(*) FROM mvec WHERE memory_id NOT IN (SELECT id FROM mem WHERE deleted_at IS NULL)
 UNION ALL SELECT 'dangling_bindings', count(*) FROM bind WHERE memory_id NOT IN (SELECT id FROM mem) OR entity_id NOT IN (SELECT id FROM ent)
-UNION ALL SELECT 'names_not_normal', count(*) FROM ent WHERE name <> {_NORMAL}""")
+UNION ALL SELECT 'names_not_normal', count(*) FROM ent WHERE name <> {_NORMAL}"""
+
+
+@query(ORACLE_HEALTH)
 def health_checks(s: Store) -> DataFrame:
     return report.health(s.memories, s.entities, s.relationships, s.bindings, s.memory_vectors)
 
@@ -789,9 +790,7 @@ def relation_canonical(s: Store) -> DataFrame:
 
 
 def _type_sql() -> str:
-    from lorespark.functions import vocabulary as v
-
-    cases = " ".join(f"WHEN t IN ({', '.join(repr(a) for a in names.split())}) THEN '{kind}'" for kind, names in v.ENTITY_TYPE_ALIASES.items())
+    cases = " ".join(f"WHEN t IN ({', '.join(repr(a) for a in names)}) THEN '{kind}'" for kind, names in v.ENTITY_TYPE_ALIASES.items())
     known = ", ".join(repr(t) for t in v.ENTITY_TYPES)
     return f"SELECT id, CASE WHEN t IS NULL THEN NULL WHEN t IN ({known}) THEN t {cases} ELSE 'concept' END AS type FROM (SELECT id, replace(lower(trim(type)), '-', '_') AS t FROM ent)"
 
@@ -919,3 +918,173 @@ def evidence_chains(s: Store) -> DataFrame:
 @query("SELECT e.id, e.name, e.type, coalesce(d, 0) AS live_degree FROM ent e LEFT JOIN deg ON deg.id = e.id WHERE name IN (SELECT name FROM mem)")
 def graph_context_nodes(s: Store) -> DataFrame:
     return graph.graph_context(s.memories.select("name"), s.entities, s.relationships)[0]
+
+
+# lookups and changes of whole records
+
+_URLS = "SELECT memory_id, url, url_offset, row_number() OVER (ORDER BY memory_id, url_offset, url) AS id FROM (SELECT DISTINCT id AS memory_id, url, octet_length(encode(substring(body, 1, instr(body, url) - 1))) AS url_offset FROM (SELECT id, body, unnest(regexp_extract_all(body, 'https?://[^\\s)\\]}\"\'\'<]*')) AS url FROM mem) WHERE length(url) BETWEEN 10 AND 4096)"
+
+
+def _live_ids(s: Store, type_: str | None = None) -> DataFrame:
+    return scan.live(s.memories, None, type_).select(F.col("id").alias("memory_id"))
+
+
+def _url_rows(s: Store) -> DataFrame:
+    return T.url_rows(s.memories, "id", "body").withColumnRenamed("id", "memory_id")
+
+
+def _no_urls(s: Store) -> DataFrame:
+    return s.spark.createDataFrame([], "id bigint, memory_id bigint, url string, url_offset bigint, created_at bigint")
+
+
+@query(f"""
+WITH l AS (SELECT id, {_W} AS w FROM mem WHERE body IS NOT NULL AND deleted_at IS NULL AND type = 'decision'),
+ c AS (SELECT id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 50) / 350.0) AS BIGINT)))) AS chunk_idx FROM l)
+SELECT id AS memory_id, chunk_idx, len(w[chunk_idx * 350 + 1 : chunk_idx * 350 + 400]) AS n_tokens FROM c""")
+def chunks_by_memory(s: Store) -> DataFrame:
+    chunks = chunking.chunk_token_windows(s.memories, "id", "body").withColumnRenamed("id", "memory_id")
+    return scan.chunks_of(chunks, _live_ids(s, "decision")).select("memory_id", "chunk_idx", "n_tokens")
+
+
+@query(f"SELECT memory_id, url, url_offset FROM ({_URLS}) WHERE memory_id IN (SELECT id FROM mem WHERE deleted_at IS NULL)")
+def urls_by_memory(s: Store) -> DataFrame:
+    stored = mutate.persist_urls(_no_urls(s), _url_rows(s), NOW)
+    return scan.urls_of(stored, _live_ids(s)).select("memory_id", "url", "url_offset")
+
+
+@query(f"SELECT memory_id, url, CASE WHEN url LIKE '%.example%' THEN -1 ELSE url_offset END AS url_offset FROM ({_URLS})")
+def persist_urls(s: Store) -> DataFrame:
+    before = mutate.persist_urls(_no_urls(s), _url_rows(s).where(F.col("url").like("%.example%")).withColumn("url_offset", F.lit(-1).cast("bigint")), NOW)
+    return mutate.persist_urls(before, _url_rows(s), NOW + 1).select("memory_id", "url", "url_offset")
+
+
+@query("SELECT count(*) AS total, count(*) > 50 AS truncated FROM mem WHERE namespace = 'global' AND type = 'note' AND deleted_at IS NULL")
+def list_memories_count(s: Store) -> DataFrame:
+    return scan.count_listed(s.memories, NS, "note")
+
+
+@query("SELECT id, name FROM mem WHERE deleted_at IS NULL AND namespace = (SELECT namespace FROM mem WHERE id = 2) AND name IN (SELECT name FROM mem WHERE id = 2)")
+def scan_named_live(s: Store) -> DataFrame:
+    namespace, name = _name(s, 2)
+    return enrich.named_live(s.memories, [name, "absent"], namespace).select("id", "name")
+
+
+_LINKS = f"""
+WITH n AS (SELECT id, name, {_NORMAL} AS normal FROM ent WHERE namespace = 'global'), i AS (SELECT normal, min(id) AS id FROM n GROUP BY normal),
+ inc AS (SELECT r.id AS seq, a.normal AS s, CASE WHEN b.id IS NULL THEN 'nobody-at-all' ELSE b.normal END AS t, 'uses' AS relation, coalesce(weight, 0.5) AS weight FROM rel r JOIN n a ON a.id = source_id LEFT JOIN n b ON b.id = target_id),
+ p AS (SELECT seq, s, t, weight, x.id AS source_id, y.id AS target_id FROM inc LEFT JOIN i x ON x.normal = s LEFT JOIN i y ON y.normal = t),
+ o AS (SELECT source_id, target_id, max_by(weight, id) AS weight, count(*) AS n FROM rel WHERE relation = 'uses' GROUP BY 1, 2),
+ f AS (SELECT p.*, o.weight AS old, o.n AS n_old, max(seq) OVER (PARTITION BY p.source_id, p.target_id) AS latest FROM p LEFT JOIN o ON o.source_id = p.source_id AND o.target_id = p.target_id WHERE s <> t AND p.weight BETWEEN 0 AND 1)
+"""
+
+
+@query(_LINKS + "SELECT seq, CASE WHEN s = t THEN 'self link' WHEN weight NOT BETWEEN 0 AND 1 THEN 'bad weight' END AS outcome FROM p WHERE s = t OR weight NOT BETWEEN 0 AND 1 UNION ALL SELECT seq, CASE WHEN source_id IS NULL OR target_id IS NULL THEN 'missing entity' WHEN seq < latest THEN 'superseded' WHEN n_old IS NULL THEN 'created' WHEN old = weight THEN 'exists' ELSE 'updated' END FROM f")
+def link_outcomes(s: Store) -> DataFrame:
+    nodes = s.entities.where(F.col("namespace") == NS)
+    a, b = nodes.select(F.col("id").alias("source_id"), F.col("name").alias("source")), nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target"))
+    named = s.relationships.select("id", "source_id", "target_id", "weight").join(a, "source_id").join(b, "target_id", "left")
+    incoming = named.select(F.col("id").alias("seq"), F.lit(NS).alias("namespace"), "source", F.coalesce("target", F.lit("Nobody at all")).alias("target"), F.lit("uses").alias("relation"), "weight")
+    return mutate.link(s.entities, s.relationships, incoming, NOW)[2]
+
+
+@query("SELECT memory_id, version, change_reason, sha256(body) AS body_hash FROM ver WHERE memory_id = 3 UNION ALL SELECT 3, max(version) + 1, 'edit', sha256('a new body') FROM ver WHERE memory_id = 3 AND EXISTS (SELECT 1 FROM mem WHERE id = 3 AND deleted_at IS NULL)")
+def edit_versions(s: Store) -> DataFrame:
+    _, versions, _ = mutate.edit_versioned(s.memories, s.versions, *_name(s, 3), NOW, body="a new body")
+    return versions.where("memory_id = 3").select("memory_id", "version", "change_reason", T.body_hash(F.col("body")).alias("body_hash"))
+
+
+@query("SELECT CASE WHEN count(*) = 0 THEN 'not_found' ELSE 'edited' END AS outcome, coalesce(bool_or(type IS DISTINCT FROM 'note'), false) AS re_embed FROM mem WHERE id = 3 AND deleted_at IS NULL")
+def edit_outcome(s: Store) -> DataFrame:
+    return mutate.edit_versioned(s.memories, s.versions, *_name(s, 3), NOW, type="note", description="d")[2]
+
+
+@query("SELECT memory_id, version, change_reason FROM ver WHERE memory_id = 3 UNION ALL SELECT 3, max(version) + 1, 'rename' FROM ver WHERE memory_id = 3 AND EXISTS (SELECT 1 FROM mem WHERE id = 3 AND deleted_at IS NULL)")
+def rename_versions(s: Store) -> DataFrame:
+    _, versions, _ = mutate.rename_versioned(s.memories, s.versions, *_name(s, 3), "Another_name", NOW)
+    return versions.where("memory_id = 3").select("memory_id", "version", "change_reason")
+
+
+@query("SELECT m.id, NULL::BIGINT AS deleted_at, sha256(x.body) AS body_hash FROM mem m JOIN ver x ON x.memory_id = m.id AND x.version = 1 WHERE m.deleted_at IS NOT NULL")
+def restore_version(s: Store) -> DataFrame:
+    gone = s.memories.where(F.col("deleted_at").isNotNull()).select(F.col("id").alias("memory_id"))
+    after, _ = mutate.restore(s.memories, s.versions, gone, NOW, 1)
+    return after.join(gone.select(F.col("memory_id").alias("id")), "id", "left_semi").select("id", "deleted_at", T.body_hash(F.col("body")).alias("body_hash"))
+
+
+@query("""
+WITH m AS (SELECT * FROM mem WHERE namespace = 'global' AND deleted_at IS NULL), e AS (SELECT * FROM ent WHERE namespace = 'global'), r AS (SELECT * FROM rel WHERE source_id IN (SELECT id FROM e))
+SELECT 'memory-bindings' AS operation, count(*) AS n FROM m WHERE id NOT IN (SELECT memory_id FROM bind) UNION ALL SELECT 'entity-descriptions', count(*) FROM e WHERE description IS NULL OR description = ''
+UNION ALL SELECT 'body-enrich', count(*) FROM m WHERE length(coalesce(body, '')) < 200
+UNION ALL SELECT 're-embed', (SELECT count(*) FROM m WHERE id NOT IN (SELECT memory_id FROM mvec)) + (SELECT count(*) FROM e WHERE id NOT IN (SELECT entity_id FROM evec))
+UNION ALL SELECT 'weight-calibrate', count(*) FROM r WHERE weight >= 0.7 UNION ALL SELECT 'relation-reclassify', count(*) FROM r WHERE relation = 'applies_to' UNION ALL SELECT 'entity-type-validate', count(*) FROM e
+UNION ALL SELECT 'description-enrich', count(*) FROM m WHERE lower(description) LIKE '%ingested%' OR lower(description) LIKE '%imported%' OR lower(description) LIKE '%added%' OR length(description) < 30
+UNION ALL SELECT unnest(['augment-bindings', 'entity-connect', 'cross-domain-bridges', 'domain-classify', 'graph-audit', 'deep-research-synth', 'body-extract']), 0""")
+def backlog_of_namespace(s: Store) -> DataFrame:
+    return enrich.backlog_of_namespace(s.memories, s.entities, s.relationships, s.bindings, s.memory_vectors, s.entity_vectors, s.chunk_vectors.select("chunk_id", "memory_id"), s.chunk_vectors, NS)
+
+
+@query(f"""
+WITH c AS ({ORACLE_HEALTH}), n AS (SELECT count(*) AS n FROM rel), t AS (SELECT count(*) AS n FROM rel WHERE relation IS NOT NULL GROUP BY relation ORDER BY n DESC, relation LIMIT 1)
+SELECT check_name, CAST(value AS DOUBLE) AS value, check_name NOT IN ('live_memories', 'entities', 'relationships') AND value > 0 AS warn FROM c
+UNION ALL SELECT 'vector_coverage_pct', count(v.memory_id) * 100.0 / count(*), count(v.memory_id) < count(*) FROM (SELECT * FROM mem WHERE deleted_at IS NULL) m LEFT JOIN mvec v ON v.memory_id = m.id
+UNION ALL SELECT 'mentions_ratio', count(*) FILTER (relation = 'mentions') / count(*), count(*) FILTER (relation = 'mentions') > 0.5 * count(*) FROM rel
+UNION ALL SELECT 'applies_to_ratio', count(*) FILTER (relation = 'applies_to') / count(*), false FROM rel
+UNION ALL SELECT 'top_relation_share', t.n / n.n, t.n > 0.4 * n.n FROM t, n
+UNION ALL SELECT 'super_hubs', count(*) FILTER (d > 50), count(*) FILTER (d > 50) > 0 FROM deg UNION ALL SELECT 'max_degree', max(d), false FROM deg""")
+def health_report(s: Store) -> DataFrame:
+    return report.health_report(s.memories, s.entities, s.relationships, s.bindings, s.memory_vectors)
+
+
+@query("SELECT id FROM ent WHERE id IN (SELECT unnest([source_id, target_id]) FROM rel WHERE weight >= 0.95) OR (type IS DISTINCT FROM 'tool' AND id IN (SELECT entity_id FROM bind))")
+def cleanup_after_prune(s: Store) -> DataFrame:
+    strong = Graph(s.entities, s.relationships.where("weight >= 0.95"), s.bindings)
+    pruned = curate.prune_bindings(strong, s.entities.where("type = 'tool'").select("id"))
+    return curate.cleanup_orphans(pruned).entities.select("id")
+
+
+@query("WITH i AS (SELECT id FROM ent WHERE name IN (SELECT e.name FROM ent e JOIN bind b ON b.entity_id = e.id WHERE b.memory_id IN (SELECT id FROM mem WHERE namespace = 'global'))) SELECT id, source_id, target_id, relation, weight FROM rel WHERE source_id IN (SELECT id FROM i) AND target_id IN (SELECT id FROM i) ORDER BY weight DESC NULLS LAST, id LIMIT 50")
+def graph_context_edges(s: Store) -> DataFrame:
+    bound = s.bindings.join(s.memories.where(F.col("namespace") == NS).select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    ids = bound.select(F.col("entity_id").alias("id"))
+    return graph.graph_context(s.entities.join(ids, "id", "left_semi").select("name"), s.entities, s.relationships)[1]
+
+
+def _related_to_memory() -> str:
+    sql = _related_sql("namespace = (SELECT namespace FROM mem WHERE id = 8) AND weight >= 0.3 AND source_id IS NOT NULL AND target_id IS NOT NULL", 10)
+    return sql.replace("SELECT 1016 AS id", "SELECT entity_id AS id FROM bind WHERE memory_id = 8 AND EXISTS (SELECT 1 FROM mem WHERE id = 8 AND deleted_at IS NULL)").replace("w.n = 1 AND deleted_at IS NULL", "w.n = 1 AND deleted_at IS NULL AND b.memory_id <> 8")
+
+
+@query(_related_to_memory())
+def related_to_memory(s: Store) -> DataFrame:
+    return graph.related_by_name(s.memories, s.entities, s.bindings, s.relationships, *_name(s, 8))
+
+
+@query()
+def deep_research_with_entities(s: Store) -> DataFrame:
+    parts = dict(enumerate(research.decompose(QUESTION)))
+    return research.research(s.memories, s.bindings, s.relationships, s.memory_vectors, s.vectors([3, 7, 11]), parts, entity_embeddings=s.entity_vectors)[0]
+
+
+def _tiling(pieces: DataFrame, most: int | None, text: DataFrame) -> DataFrame:
+    """``(id, bytes, covered, within, whole)`` of each text: do its spans begin at 0, follow on one another and end at its end, fit, and hold its bytes."""
+    by = Window.partitionBy("id").orderBy("start_offset", "end_offset")
+    step = pieces.withColumn("_reach", F.coalesce(F.max("end_offset").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    size = F.col("end_offset") - F.col("start_offset")
+    good = step.groupBy("id").agg(F.bool_and(F.col("start_offset") <= F.col("_reach")).alias("_joined"), F.max("end_offset").alias("_end"), F.bool_and(size <= most if most else F.lit(True)).alias("within"), F.bool_and(F.octet_length("chunk_text") == size).alias("whole"))
+    size_of = text.where(F.col("body").isNotNull()).select("id", F.octet_length("body").cast("bigint").alias("bytes"))
+    return size_of.join(good, "id").select("id", "bytes", (F.col("_joined") & (F.col("_end") == F.col("bytes"))).alias("covered"), "within", "whole")
+
+
+@query("SELECT id, octet_length(encode(body)) AS bytes, true AS covered, true AS within, true AS whole FROM mem WHERE body IS NOT NULL")
+def chunk_heuristic_tiling(s: Store) -> DataFrame:
+    return _tiling(chunking.chunk_heuristic(s.memories, "id", "body"), chunking.SIZE, s.memories)
+
+
+@query("SELECT id, octet_length(encode(body)) AS bytes, true AS covered, true AS within, true AS whole FROM mem WHERE body IS NOT NULL")
+def section_split_tiling(s: Store) -> DataFrame:
+    return _tiling(chunking.split_sections(s.memories, "id", "body"), v.PARTITION_BYTES, s.memories)
+
+
+@query("SELECT id, octet_length(encode(body)) AS bytes, true AS covered, true AS within, true AS whole FROM mem WHERE body IS NOT NULL AND regexp_matches(body, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')")
+def chunk_markdown_tiling(s: Store) -> DataFrame:
+    return _tiling(chunking.chunk_markdown(s.memories, "id", "body"), None, s.memories)

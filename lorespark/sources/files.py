@@ -19,10 +19,12 @@ def namespace(given: str | None = None) -> str:
 
 
 def directory(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = False, most: int | None = FILES_MOST) -> DataFrame:
-    """``(path, body)``: whole files in the order of their paths, the first ``most`` (a documented limit of the source; None for all)."""
+    """``(path, body)``: whole files in the order of their paths; more than ``most`` are refused (None for any number)."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
-    return rows.orderBy("path").limit(most) if most is not None else rows
+    if most is not None and (found := len(files.inputFiles())) > most:
+        raise ValueError(f"{found} files under {path}, more than {most}; give most=None to take them all")
+    return rows.orderBy("path")
 
 
 def ndjson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,8 @@
-"""Versions of a whole store on disk: a table is written beside the one it replaces, then a pointer is swapped."""
+"""Versions of a whole store on disk: tables are written beside those they replace, then a pointer of a higher number is put down.
+
+A pointer is written under another name and renamed to ``CURRENT-<number>``, which no pointer bore before, so there
+is a whole one at any time; the highest counts. Of two writers of one number the second fails and nothing is lost.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +16,15 @@ def _files(spark: SparkSession, path: str):  # noqa: ANN202
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _latest(spark: SparkSession, root: str) -> int:
+    name, files = _files(spark, f"{root}/CURRENT-*")
+    return max((int(f.getPath().getName().split("-")[1]) for f in files.globStatus(name) or []), default=0)
+
+
 def current(spark: SparkSession, root: str) -> str | None:
-    """The folder the pointer names; None before the first commit."""
-    path, files = _files(spark, f"{root}/CURRENT")
-    if not files.exists(path):
-        return None
-    return spark.read.text(f"{root}/CURRENT").first()["value"]
+    """The folder the latest pointer names; None before the first commit."""
+    number = _latest(spark, root)
+    return spark.read.text(f"{root}/CURRENT-{number}").first()["value"] if number else None
 
 
 def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> str:
@@ -28,12 +35,15 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], partiti
         if partition_by and name in partition_by:
             writer = writer.partitionBy(partition_by[name])
         writer.parquet(f"{folder}/{name}.parquet")
-    staged, target = f"{root}/CURRENT-{uuid.uuid4().hex}", f"{root}/CURRENT"
-    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.text(staged)
-    new, files = _files(spark, staged)
-    old, _ = _files(spark, target)
-    files.delete(old, True)
-    files.rename(new, old)
+    number = _latest(spark, root) + 1
+    new, files = _files(spark, f"{root}/pointer-{uuid.uuid4().hex}")
+    out = files.create(new, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    target, _ = _files(spark, f"{root}/CURRENT-{number}")
+    if files.exists(target) or not files.rename(new, target):
+        files.delete(new, False)
+        raise RuntimeError(f"another writer has put down version {number} of {root}")
     return folder
 
 

@@ -77,7 +77,7 @@ class Store:
     @cached_property
     def queue(self) -> DataFrame:
         status = F.element_at(F.array(*(F.lit(s) for s in ("pending", "processing", "done", "failed", "skipped", "dead"))), (F.col("event_id") % 6 + 1).cast("int"))
-        again = F.when(F.col("event_id") % 12 == 0, F.unix_timestamp(F.col("ts")))
+        again = F.when(F.col("event_id") % 12 == 0, F.bround(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint"))
         return self.raw("events").select(F.col("event_id").alias("id"), F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("item_key"), status.alias("status"), (F.col("event_id") % 10).cast("int").alias("attempt"), (F.col("user_id") % 4).alias("operation"), again.alias("next_retry_at"))
 
     def vector(self, vec_id: int) -> list[float]:

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 
@@ -20,8 +21,11 @@ def _plain(x):
         return "null"
     if isinstance(x, bool):
         return str(x).lower()
-    if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
-        return f"{float(x):.5g}"
+    if isinstance(x, int):
+        return str(x)  # ids, counts and times are equal or they aren't
+    if isinstance(x, (float, Decimal)):
+        near = float(x) if float(x).is_integer() else float(f"{float(x):.6e}")
+        return str(int(near)) if near.is_integer() else repr(near)
     return repr(x)
 
 
