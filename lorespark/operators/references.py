@@ -1,10 +1,11 @@
 """References to records that do not exist, from signed counts per key.
 
 Deltas: a referring row adds (or, with sign -1, takes away) one reference of its key, a record adds or takes
-away one existence, and a deleted record exists no longer. The state of a key is the sum of its deltas with the
-latest creation of the record and the earliest of its references; keys with positive references and no
-existence, or with a reference older than the record, form the current orphans. A key with a third of all
-references costs one row after the combine before the shuffle; the way back to the referring rows is salted.
+away one existence, and a deleted record exists no longer. The state sums the deltas of each key: its references in
+one row, its records in one a time of creation, so a record taken away and made anew at another time is known by
+the time that is left; keys with positive references and no existence, or with a reference older than the record,
+form the current orphans. Rows that come to nothing leave the state. A key with a third of all references costs
+one row after the combine before the shuffle; the way back to the referring rows is salted.
 
 Defined cases: a null key is no reference; a record repeated in every column counts once; a missing creation
 time on either side is never later than anything; empty tables give no orphans.
@@ -12,41 +13,44 @@ time on either side is never later than anything; empty tables give no orphans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
-STATE = ["refers_to", "key", "refs", "exists", "known_at", "first_ref_at"]
+STATE = ["refers_to", "key", "made_at", "refs", "exists", "rows", "first_ref_at"]
+
+
+def _deltas(rows: DataFrame, refers_to: str, key: str, **columns: Column) -> DataFrame:
+    return rows.where(F.col(key).isNotNull()).select(F.lit(refers_to).alias("refers_to"), F.col(key).cast("bigint").alias("key"), *(columns.get(c, F.lit(None)).cast("bigint").alias(c) for c in STATE[2:]))
 
 
 def reference_deltas(rows: DataFrame, refers_to: str, key: str, at: str, sign: int = 1) -> DataFrame:
     """Deltas of referring rows: one reference of ``key`` each."""
-    return rows.where(F.col(key).isNotNull()).select(
-        F.lit(refers_to).alias("refers_to"), F.col(key).cast("bigint").alias("key"), F.lit(sign).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("exists"), F.lit(None).cast("bigint").alias("known_at"), F.col(at).cast("bigint").alias("first_ref_at")
-    )
+    return _deltas(rows, refers_to, key, refs=F.lit(sign), exists=F.lit(0), rows=F.lit(0), first_ref_at=F.col(at))
 
 
 def existence_deltas(rows: DataFrame, refers_to: str, key: str, at: str, deleted_at: str | None = None, sign: int = 1) -> DataFrame:
-    """Deltas of records: one existence each, none for a deleted one."""
+    """Deltas of records: one existence each, none for a deleted one, at the time of creation."""
     lives = F.lit(sign) if deleted_at is None else F.when(F.col(deleted_at).isNull(), sign).otherwise(0)
-    return rows.where(F.col(key).isNotNull()).select(
-        F.lit(refers_to).alias("refers_to"), F.col(key).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("refs"), lives.cast("bigint").alias("exists"), F.col(at).cast("bigint").alias("known_at"), F.lit(None).cast("bigint").alias("first_ref_at")
-    )
+    return _deltas(rows, refers_to, key, made_at=F.col(at), refs=F.lit(0), exists=lives, rows=F.lit(sign))
 
 
 def apply_deltas(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
-    """The state after some deltas: one row a key. Deltas may come in any order and in any number of steps.
+    """The state after some deltas. They may come in any order and in any number of steps.
 
-    ``known_at`` and ``first_ref_at`` are bounds over all deltas seen; taking a reference away may leave
-    ``first_ref_at`` too early, which only adds keys to look at in ``orphan_references``.
+    ``first_ref_at`` is the least over all references seen; taking one away may leave it too early, which only adds
+    keys to look at in ``orphan_references``.
     """
     both = deltas.select(*STATE) if state is None else state.select(*STATE).unionByName(deltas.select(*STATE))
-    return both.groupBy("refers_to", "key").agg(F.sum("refs").alias("refs"), F.sum("exists").alias("exists"), F.max("known_at").alias("known_at"), F.min("first_ref_at").alias("first_ref_at"))
+    sums = both.groupBy("refers_to", "key", "made_at").agg(*(F.sum(c).alias(c) for c in ("refs", "exists", "rows")), F.min("first_ref_at").alias("first_ref_at"))
+    return sums.where((F.col("refs") != 0) | (F.col("exists") != 0) | (F.col("rows") != 0)).select(*STATE)
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
-    """The keys with references and without existence, or referred to before they were made."""
-    return state.where((F.col("refs") > 0) & ((F.col("exists") <= 0) | (F.col("known_at") > F.col("first_ref_at"))))
+    """``(refers_to, key, refs, exists, known_at, first_ref_at)`` of the keys with references and without existence, or referred to before they were made."""
+    known = F.max(F.when(F.col("rows") > 0, F.col("made_at")))
+    keys = state.groupBy("refers_to", "key").agg(F.sum("refs").alias("refs"), F.sum("exists").alias("exists"), known.alias("known_at"), F.min("first_ref_at").alias("first_ref_at"))
+    return keys.where((F.col("refs") > 0) & ((F.col("exists") <= 0) | (F.col("known_at") > F.col("first_ref_at"))))
 
 
 def orphan_references(references: DataFrame, state: DataFrame) -> DataFrame:
