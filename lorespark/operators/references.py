@@ -20,8 +20,8 @@ SALTS = 16
 STATE = ["refers_to", "key", "made_at", "refs", "exists", "rows", "first_ref_at"]
 
 
-def _deltas(rows: DataFrame, refers_to: str, key: str, **columns: Column) -> DataFrame:
-    return rows.where(F.col(key).isNotNull()).select(F.lit(refers_to).alias("refers_to"), F.col(key).cast("bigint").alias("key"), *(columns.get(c, F.lit(None)).cast("bigint").alias(c) for c in STATE[2:]))
+def _deltas(table: DataFrame, refers_to: str, key: str, /, **columns: Column) -> DataFrame:
+    return table.where(F.col(key).isNotNull()).select(F.lit(refers_to).alias("refers_to"), F.col(key).cast("bigint").alias("key"), *(columns.get(c, F.lit(None)).cast("bigint").alias(c) for c in STATE[2:]))
 
 
 def reference_deltas(rows: DataFrame, refers_to: str, key: str, at: str, sign: int = 1) -> DataFrame:
