@@ -188,3 +188,16 @@ def count_ids(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> Dat
 
     kind = df.schema[key].dataType.simpleString()
     return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
+
+
+def decoded_hashes(df: DataFrame, key: str, ids: str, path: str = VOCABULARY) -> DataFrame:
+    """``(key, text_hash)``: SHA-256 of the text that the ids stand for, the way back from ``encode_ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = PairIndexEncoder(path).token
+        for batch in batches:
+            raw = [b"".join(token[i] for i in x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], [key, "raw"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, raw binary").select(key, F.sha2("raw", 256).alias("text_hash"))

@@ -2,10 +2,12 @@
 
 Lists and tables are found by their layout: the same delimiters at the same place of line after line (vertical
 alignment), a marker or an indent that comes back in a fixed rhythm (indentation periodicity) and line lengths
-that repeat (autocorrelation). Marks and delimiters decide line by line; a run of lines without them is judged
-by its periodicity, autocorrelation and alignment together with its word, symbol and punctuation ratios. All is
-weighted by characters, so that prose holding a small list, table or code stays prose. A word is a token between
-white space without the punctuation around it.
+that repeat (autocorrelation). Delimiters and marks are looked at line by line beside the lines around; a run of
+lines without them is judged by its periodicity, autocorrelation and alignment together with its word, symbol and
+punctuation ratios. The text as a whole is decided by one score: the share of characters outside such lines, and
+against it the three layout scores and the share of lines that end in punctuation. Shares are weighted by
+characters, so that prose holding a small list, table or code stays prose. A word is a token between white space
+without the punctuation around it.
 
 Defined cases: null, empty and blank texts get zero statistics and ``kind`` 'empty'; texts are read whole;
 ``common_words`` may hold nulls and repeated words.
@@ -187,6 +189,21 @@ def _layout_kind(lines: list[str], n_words: list[int]) -> str | None:
     return "list"
 
 
+#: What each layout score, beyond its usual value in prose, adds to the share of laid-out characters.
+LAYOUT_WEIGHT, USUAL = 0.2, 0.25
+PUNCTUATION_WEIGHT, USUAL_PUNCTUATION = 0.1, 0.5
+
+
+def layout_score(laid_out: float, alignment: float, periodicity: float, autocorrelation: float, punctuated: float) -> float:
+    """From 0 for prose to 1 for lists and tables; a half is the border.
+
+    ``laid_out`` is the share of characters in lines that look like a list's or table's; where that leaves the text
+    undecided, vertical alignment, periodicity and autocorrelation speak for a layout and ends of sentences against.
+    """
+    rhythm = sum(max(0.0, x) - USUAL for x in (alignment, periodicity, autocorrelation))
+    return laid_out + laid_out * (1 - laid_out) * 4 * (LAYOUT_WEIGHT * rhythm - PUNCTUATION_WEIGHT * (punctuated - USUAL_PUNCTUATION))
+
+
 def _line_kinds(lines: list[str], words: list[list[str]], marks: list[str]) -> list[str]:
     """What each line looks like beside its neighbours."""
     cells = [_cells(x) for x in lines]
@@ -277,14 +294,22 @@ def examine(text: str | None, common: frozenset[str], spaceless: list[str]) -> t
     tables, lists = weight["table"] + weight["log"], weight["list"] + weight["pair"] + weight["inline"]
 
     prose = weight["text"] / body if body else 0.0
-    layout = prose < 0.5 and len(lines) >= 3
+    indents = [len(x) - len(x.lstrip()) for x in lines]
+    heads = [m.strip()[:1] for m in marks]
+    rhythm = sum(m != "" and (m.isalnum() or m in heads[max(0, k - 3) : k]) for k, m in enumerate(heads))
+    rhythm = max(rhythm, sum(i > 0 and i in indents[max(0, k - 3) : k] for k, i in enumerate(indents)))
+    alignment, periodicity = tables / body if body else 0.0, rhythm / len(lines)
+    autocorrelation = _autocorrelation(np.array([len(x) for x in lines], float))
+    punctuated = sum(map(_ends_sentence, lines)) / len(lines)
+    natural = layout_score(1 - prose, alignment, periodicity, autocorrelation, punctuated) <= 0.5
+    layout = not natural and len(lines) >= 3
     if weight["rule"] > 2 * (solid - weight["rule"]) and solid >= 12:
         kind = "junk"
     elif not body:
         kind = "prose"  # headings or code alone are neither list nor table
-    elif _gibberish(*(("\n".join(x for x, k in zip(lines, kinds) if k == "text"), [w for ws, k in zip(by_line, kinds) if k == "text" for w in ws]) if 0.5 <= prose < 1 else (text, words)), common, share, layout):
+    elif _gibberish(*(("\n".join(x for x, k in zip(lines, kinds) if k == "text"), [w for ws, k in zip(by_line, kinds) if k == "text" for w in ws]) if natural and prose < 1 else (text, words)), common, share, layout):
         kind, prose = "junk", 0.0
-    elif prose >= 0.5:
+    elif natural:
         kind = "prose"
     elif weight["log"] > 0.5 * body:
         kind = "junk"
@@ -293,20 +318,16 @@ def examine(text: str | None, common: frozenset[str], spaceless: list[str]) -> t
     else:
         kind = "table" if tables >= lists else "list"
 
-    indents = [len(x) - len(x.lstrip()) for x in lines]
-    heads = [m.strip()[:1] for m in marks]
-    rhythm = sum(m != "" and (m.isalnum() or m in heads[max(0, k - 3) : k]) for k, m in enumerate(heads))
-    rhythm = max(rhythm, sum(i > 0 and i in indents[max(0, k - 3) : k] for k, i in enumerate(indents)))
     letters = sum(map(len, words))
     return (
         len(words),
         letters / len(words) if words else 0.0,
         len(SYMBOL.findall(text)) / solid,
-        sum(map(_ends_sentence, lines)) / len(lines),
+        punctuated,
         share,
-        tables / body if body else 0.0,
-        rhythm / len(lines),
-        _autocorrelation(np.array([len(x) for x in lines], float)),
+        alignment,
+        periodicity,
+        autocorrelation,
         prose,
         kind,
     )

@@ -512,3 +512,16 @@ def test_junk_behind_an_ordinary_word():
     struck = " ".join("".join(rng.choice("asdfghjkleriouwtn") for _ in range(rng.randrange(3, 9))) for _ in range(120))
     common = frozenset("the of and to a in is was it we not one had at because after so why another".split())
     assert [quality.examine(x, common, [])[-1] for x in (struck, "the " + struck, PROSE)] == ["junk", "junk", "prose"]
+
+
+def test_layout_scores_decide_what_is_mixed(monkeypatch):
+    common = frozenset("the of and to a in is was it we not one had at because after so why another".split())
+    even = [f"- {'scan' if k % 2 else 'sort'} the index of part {k:02}" for k in range(14)]
+    prose = textwrap.wrap((PROSE + " ") * 3, 90)
+    listed = sum(len(x.replace(" ", "")) for x in even)
+    body = prose[: next(k for k in range(len(prose)) if sum(len(x.replace(" ", "")) for x in prose[: k + 1]) > 1.05 * listed) + 1]
+    text = "\n".join(body + even)
+    got = quality.examine(text, common, [])
+    assert got[-1] == "list" and got[-2] > 0.5
+    monkeypatch.setattr(quality, "LAYOUT_WEIGHT", 0.0)
+    assert quality.examine(text, common, [])[-1] == "prose"
