@@ -234,15 +234,15 @@ def truncated(values: DataFrame, field: str, key: str, text: str) -> DataFrame:
     bare = _bare(text)
     records = some.select(field, key, F.xxhash64(text).alias("h"), F.xxhash64(bare).alias("bare_h"), (F.length(bare) < LEAST_COPIED).alias("short")).distinct()
     records = materialize(records, "text-records")
-    # copies are combined before the shuffle, so a text that many rows hold crosses once a task
-    once = materialize(some.groupBy(F.xxhash64(text).alias("h")).agg(F.first(text).alias("text")), "texts")
     # openings of a short text count once a record, of copies that differ in their mark of omission only once for all
     often = records.where("short").groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     copies = records.where(~F.col("short")).select("h", "bare_h").distinct()
     kept = copies.groupBy("bare_h").agg(F.min("h").alias("kept"), F.count(F.lit(1)).alias("several")).where("several > 1")
     never = copies.join(kept, "bare_h").where("h <> kept").select("h", F.lit(0).cast("bigint").alias("times"))
-    seen_texts = once.join(often.union(never), "h", "left").select("h", F.coalesce("times", F.lit(1)).alias("times"), "text")
-    examined = materialize(examine(seen_texts), "fragments")
+    # copies are combined before the shuffle, so a text that many rows hold crosses once a task; the join keeps its keys
+    once = some.groupBy(F.xxhash64(text).alias("h")).agg(F.first(text).alias("text")).join(often.union(never), "h", "left")
+    once = materialize(once.select("h", F.coalesce("times", F.lit(1)).alias("times"), "text"), "texts")
+    examined = materialize(examine(once), "fragments")
     kind = examined.where("h is not null").select("h", "fragment", "open_code")
     seen = examined.where("prefix is not null").groupBy("prefix").agg(F.sum("finished").alias("finished"), F.sum("unfinished").alias("unfinished"))
     lengths = F.array(*(F.lit(p) for p in PREFIXES))
