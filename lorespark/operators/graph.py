@@ -31,22 +31,22 @@ def steps(relationships: DataFrame, namespace: str | None = None, min_weight: fl
     return out if direction == "out" else back if direction == "in" else out.unionByName(back)
 
 
-def bfs(walkable: DataFrame, seeds: DataFrame, hops: int = HOPS, cap: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+def bfs(walkable: DataFrame, seeds: DataFrame, hops: int = HOPS, cap: int | None = None, by: Sequence[str] = (), paths: bool = True) -> DataFrame:
     """``(*by, entity_id, hop, parent_id, rel_id, relation, weight, path_weight, path)``: every entity at its least distance.
 
     ``walkable`` as from ``steps``; ``seeds``: (*by, entity_id), of hop 0; several searches, told apart by the
     columns ``by``, go through the same joins. With ``cap`` an entity hands on to its heaviest so many neighbours
     that aren't visited yet. Of several ways to an entity the one from the parent found first (by id) over the
-    heaviest edge is kept. ``path`` lists the edges from the seed.
+    heaviest edge is kept. ``path`` lists the edges from the seed; without ``paths`` it isn't carried from hop to hop.
     """
     by = list(by)
     step = F.struct(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "relation", "weight")
     none = F.array().cast("array<struct<from_id:bigint,to_id:bigint,relation:string,weight:double>>")
     start = seeds.where(F.col("entity_id").isNotNull()).select(*by, F.col("entity_id").cast("bigint").alias("entity_id")).distinct()
-    frontier = materialize(start.select(*by, "entity_id", F.lit(0).alias("hop"), *(F.lit(None).cast(t).alias(c) for c, t in (("parent_id", "bigint"), ("rel_id", "bigint"), ("relation", "string"), ("weight", "double"))), F.lit(1.0).alias("path_weight"), none.alias("path")), "frontier")
+    frontier = materialize(start.select(*by, "entity_id", F.lit(0).alias("hop"), *(F.lit(None).cast(t).alias(c) for c, t in (("parent_id", "bigint"), ("rel_id", "bigint"), ("relation", "string"), ("weight", "double"))), F.lit(1.0).alias("path_weight"), *([none.alias("path")] if paths else [])), "frontier")
     visited = frontier
     for hop in range(1, hops + 1):
-        at = frontier.select(*by, F.col("entity_id").alias("src"), F.col("path_weight").alias("_pw"), F.col("path").alias("_path"))
+        at = frontier.select(*by, F.col("entity_id").alias("src"), F.col("path_weight").alias("_pw"), *([F.col("path").alias("_path")] if paths else []))
         reached = walkable.join(at, "src").join(visited.select(*by, F.col("entity_id").alias("dst")), [*by, "dst"], "left_anti")
         if cap is not None:
             # parallel edges count once against the cap
@@ -54,9 +54,9 @@ def bfs(walkable: DataFrame, seeds: DataFrame, hops: int = HOPS, cap: int | None
             reached = reached.withColumn("_n", F.row_number().over(each)).where("_n = 1")
             reached = reached.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "src").orderBy(F.desc("weight"), "rel_id"))).where(F.col("_n") <= cap)
         # one way to each entity, chosen by an aggregation that combines before the shuffle
-        best = F.min_by(F.struct("src", "rel_id", "relation", "weight", (F.col("_pw") * F.col("weight")).alias("path_weight"), F.concat("_path", F.array(step)).alias("path")), F.struct("src", -F.col("weight"), "rel_id"))
+        best = F.min_by(F.struct("src", "rel_id", "relation", "weight", (F.col("_pw") * F.col("weight")).alias("path_weight"), *([F.concat("_path", F.array(step)).alias("path")] if paths else [])), F.struct("src", -F.col("weight"), "rel_id"))
         found = reached.groupBy(*by, F.col("dst").alias("entity_id")).agg(best.alias("b"))
-        frontier = materialize(found.select(*by, "entity_id", F.lit(hop).alias("hop"), F.col("b.src").alias("parent_id"), "b.rel_id", "b.relation", "b.weight", "b.path_weight", "b.path"), "frontier")
+        frontier = materialize(found.select(*by, "entity_id", F.lit(hop).alias("hop"), F.col("b.src").alias("parent_id"), "b.rel_id", "b.relation", "b.weight", "b.path_weight", *(["b.path"] if paths else [])), "frontier")
         if hop < hops and frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -83,13 +83,13 @@ def graph_distance(hop: Column) -> Column:
 
 def traverse_from_memories(memories: DataFrame, bindings: DataFrame, relationships: DataFrame, memory_ids: DataFrame, namespace: str | None, min_weight: float = MIN_WEIGHT, hops: int = HOPS, cap: int | None = None) -> DataFrame:
     """``(memory_id, hop)`` reached from the entities of some memories along outgoing edges."""
-    found = bfs(steps(relationships, namespace, min_weight), entities_of(bindings, memory_ids), hops, cap)
+    found = bfs(steps(relationships, namespace, min_weight), entities_of(bindings, memory_ids), hops, cap, paths=False)
     return memories_reached(found, bindings, memories, memory_ids)
 
 
 def related(memories: DataFrame, bindings: DataFrame, relationships: DataFrame, seeds: DataFrame, namespace: str | None = None, hops: int = HOPS, min_weight: float = MIN_WEIGHT, relations: Sequence[str] | None = None, exclude: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """``(memory_id, hop, relation, weight, from_id, entity_id)``: memories near some entities in either direction, the nearest and heaviest first."""
-    found = bfs(steps(relationships, namespace, min_weight, "both", relations), seeds, hops).where("hop > 0")
+    found = bfs(steps(relationships, namespace, min_weight, "both", relations), seeds, hops, paths=False).where("hop > 0")
     alive = memories.where(F.col("deleted_at").isNull()).select(F.col("id").alias("memory_id"))
     hits = bindings.select("memory_id", "entity_id").distinct().join(found, "entity_id").join(alive, "memory_id", "left_semi")
     hits = hits.join(exclude.select("memory_id"), "memory_id", "left_anti") if exclude is not None else hits
@@ -108,7 +108,7 @@ def related_by_name(memories: DataFrame, entities: DataFrame, bindings: DataFram
 def incident_edges(relationships: DataFrame, seeds: DataFrame, hops: int = HOPS, namespace: str | None = None) -> DataFrame:
     """``(entity_id, hop, rel_id, other_id, relation, weight, direction)``: every edge at each entity nearer than ``hops``, whatever its weight."""
     walkable = steps(relationships, namespace, None, "both")
-    inner = bfs(walkable, seeds, hops - 1).select(F.col("entity_id").alias("src"), "hop") if hops > 1 else seeds.select(F.col("entity_id").cast("bigint").alias("src"), F.lit(0).alias("hop")).distinct()
+    inner = bfs(walkable, seeds, hops - 1, paths=False).select(F.col("entity_id").alias("src"), "hop") if hops > 1 else seeds.select(F.col("entity_id").cast("bigint").alias("src"), F.lit(0).alias("hop")).distinct()
     way = F.when(F.col("forward"), "outbound").otherwise("inbound")
     return walkable.join(inner, "src").select(F.col("src").alias("entity_id"), (F.col("hop") + 1).alias("hop"), "rel_id", F.col("dst").alias("other_id"), "relation", "weight", way.alias("direction"))
 

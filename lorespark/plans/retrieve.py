@@ -42,7 +42,7 @@ def recall(memories: DataFrame, bindings: DataFrame, relationships: DataFrame, e
         seeds = graph.entities_of(bindings, direct.select("memory_id").union(near.select(F.col("entity_id").alias("memory_id"))))
     else:
         seeds = graph.seed_entities(near, direct.select("memory_id"), bindings)
-    found = graph.bfs(graph.steps(relationships, namespace, min_weight), seeds, hops)
+    found = graph.bfs(graph.steps(relationships, namespace, min_weight), seeds, hops, paths=False)
     reached = graph.memories_reached(found, bindings, memories, direct.select("memory_id"))
     reached = reached.orderBy("memory_id").limit(most_graph) if most_graph is not None else reached
     graphed = reached.select(F.col("memory_id").alias("id"), graph.graph_distance(F.col("hop")).alias("distance"), F.lit("graph").alias("source"), "hop")
